@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python; a batch of documents then stays within some megabytes.
+#: Rows and bytes of an Arrow batch handed to Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 _own_scratch: dict[str, str] = {}
 
@@ -23,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session (never raises a smaller bound)."""
+    """Bound the rows and bytes of an Arrow batch for this session (never raises a smaller bound of rows)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:
