@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cluster import ship
+
 #: Rows and bytes of an Arrow batch handed to Python.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -71,6 +73,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     arrow_batches(df.sparkSession)
     return df.mapInArrow(kernel, schema)
 
