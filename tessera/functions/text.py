@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.types import Language, Locale
 
@@ -36,7 +37,7 @@ def classify_locale(text: Column, language: Language) -> Column:
     return classify_chinese(text) if language.chinese else F.lit(Locale.NONE.name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition (Spark has no function for it)."""
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
