@@ -1,0 +1,65 @@
+import os
+
+import pytest
+from test_texts import brute_components, kept_lines, more_spans
+
+import corpus_pipeline as pipe
+from tessera.llm import toxicity
+from tessera.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def masked(text):
+    out, at = [], 0
+    for s, _, e in more_spans(text):
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    """Each stage against a plain version on its own input, and run() against the last of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    machine = toxicity.learn_machine(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    state = {r.doc_id: r for r in docs.collect()}
+    for k, (name, stage) in enumerate(pipe.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        got = {r.doc_id: r for r in docs.collect()}
+        rows = [(i, r.text) for i, r in state.items()]
+        if name == "toxicity":
+            want = {i: t for i, t in rows if machine.scores(1, *toxicity.terms([t]))[0] < 0.5}
+        elif name == "line_dedup":
+            want = dict(kept_lines(rows))
+        elif name == "near_dedup":
+            label = brute_components(rows)
+            want = {i: t for i, t in rows if label[i][1] == i}
+        else:
+            want = {i: masked(t) for i, t in rows}
+        assert {i: r.text for i, r in got.items()} == want
+        assert all(r.n_chars == len(r.text) for r in got.values()) and all((r.lang, r.source) == (state[i].lang, state[i].source) for i, r in got.items())
+        state = got
+    tokens = {r.doc_id: r.doc_tokens for r in docs.collect()}
+    assert tokens.keys() == state.keys()
+    again = pipe.run(spark, SF)
+    assert sorted(map(tuple, again.drop("sequence_id", "offset").collect())) == sorted(map(tuple, docs.drop("sequence_id", "offset").collect()))
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_is_its_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    want, got = c.sql(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
+    names = sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df[names].astype(str).values.tolist()))
+    assert sorted(got.columns) == names and rows(got) == rows(want)
