@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, map_arrow, spans_of_bytes, texts_of
+from tessera.llm.common import held_out, map_arrow, spans_of_bytes, stored, texts_of
 from tessera.llm.pretokens import LETTER, class_table, code_points, distinct, mixed, range_hashes, runs
 
 THRESHOLD = 0.5
@@ -35,7 +35,7 @@ LEAST_STEPS, EPOCHS, STEP, ROWS_A_STEP = 3000, 10, 0.05, 256
 #: The first fit draws weights to zero, where terms end that only go along with the telling ones; the second fits the rest.
 LASSO, DECAY = 3e-4, 1e-4
 LEAST_WEIGHT = 1e-3
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 800_000
 
 _letters: list[np.ndarray] = []
 
@@ -173,12 +173,16 @@ def learn_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic", lear
     none = Machine(np.zeros(0, np.int64), math.log((n1 + 0.5) / (n0 + 0.5)) if n0 and n1 else (700.0 if n1 else -700.0), np.zeros(0), np.zeros((0, FACTORS)))
     if not n0 or not n1:
         return none
-    docs = docs.select("doc_id", "text")
-    best = best_terms(term_counts(docs.join(known, "doc_id")), n0, n1)
+    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for k in (0, 1)]
+    chosen = parts[0].union(parts[1])  # at most 2 * most_rows rows of two numbers
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled")
+    taken = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(taken) < 2:
+        return none
+    best = best_terms(term_counts(rows), taken[0], taken[1])
     if not len(best):
         return none
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for k in (0, 1)]
-    owner, column, y = sample_terms(docs.join(parts[0].union(parts[1]), "doc_id"), best)
+    owner, column, y = sample_terms(rows, best)
     return Machine.fit_sparse(best, owner, column, y.astype(float), math.log((n1 + 0.5) / (n0 + 0.5)))
 
 
