@@ -8,8 +8,9 @@ nearest ``WINDOW`` neighbours reach. Two sets of similarity 0.75 share a prefix
 probability (1 - 0.75**4)**40, under 1e-6.
 
 Candidates are screened by their signatures, far below the threshold, and confirmed on full sets: first the best one of
-each node, then those that still join two components. In regions with more nodes than the window, a second search goes
-over what is left: see ``stragglers``.
+each node, then those that still join two components. The nodes of regions wider than the window are searched once
+more, with a wide window and for neighbours of other components alone, so that a large group that is one already costs
+no more pairs.
 
 Nulls and edge cases: a document without words (null, empty or blank text) has no shingles and is linked with nothing.
 Rows without a doc_id are linked with nothing, too. Rows that share a doc_id are one node. Texts of any length are used
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, partitions, spans_of_bytes, stored, texts_of
@@ -35,10 +36,15 @@ TREES = 40
 LEAST_DEPTH = 4
 DEPTH = 12
 HASHES = TREES * LEAST_DEPTH
-WINDOW = 8
-#: Share of equal signature levels under which a candidate is not looked at; 0.75 less about six standard deviations.
-SCREEN = 0.55
-BATCH_CHARS = 1_000_000
+WINDOW = 2
+#: The window of the second search, over nodes with more candidates than the first one, for neighbours in other components.
+WIDE_WINDOW = 32
+#: Share of equal signature levels under which a candidate is not looked at; 0.75 less about six standard deviations, and
+#: less about three where the candidates of dense regions are many.
+SCREEN, WIDE_SCREEN = 0.55, 0.66
+#: Bits a node in the filter that picks documents for the confirmation, and bits at most (8 MB), whatever the input.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
+BATCH_CHARS = 500_000
 
 _rng = np.random.default_rng(20)
 _byte_codes = mixed(np.arange(256) + 1000)
@@ -100,62 +106,79 @@ def prepared(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
-def tree_keys(nodes: DataFrame) -> DataFrame:
-    """(key, id) of each node in each tree: the tree, its own levels, and deeper ones taken from other trees' levels."""
+def tree_keys(nodes: DataFrame, *more: Column) -> DataFrame:
+    """(row, id) of each node in each tree: the tree, its own levels, deeper ones taken from other trees' levels, and ``more``."""
     tags = F.posexplode(F.array(*[F.lit(bytes([t])) for t in range(TREES)])).alias("t", "tag")
     own = F.col("t") * LEAST_DEPTH + 1
     deeper = (F.col("t") + 13) % (TREES - 2) * LEAST_DEPTH + 1
-    return nodes.select("id", "sketch", tags).select(
-        F.concat("tag", F.substring("sketch", own, F.lit(LEAST_DEPTH)), F.substring("sketch", deeper, F.lit(DEPTH - LEAST_DEPTH))).alias("key"), "id"
+    return nodes.select("*", tags).select(
+        F.concat("tag", F.substring("sketch", own, F.lit(LEAST_DEPTH)), F.substring("sketch", deeper, F.lit(DEPTH - LEAST_DEPTH)), *more).alias("row"), "id"
     )
 
 
-def neighbour_pairs(window: int):
-    """A kernel over sorted (key, id): pairs (kind 0) of near rows, and the first and last rows of the partition (kind 1)."""
-    width = 1 + DEPTH
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.binary())])
+PAIRS = "kind int, a long, b long, row binary"
+PAIR, END = 0, 1
+LABEL = 8 + 8 + HASHES  # of a row of the second search, after its key: component, size and signature
 
-    def batch_of(kind: int, a: np.ndarray, b: np.ndarray, keys: np.ndarray | None = None) -> pa.RecordBatch:
-        key = pa.nulls(len(a), pa.binary()) if keys is None else pa.array([k.tobytes() for k in keys], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), key], schema=schema)
+
+def neighbour_pairs(window: int, labelled: bool = False):
+    """A kernel over sorted (row, id), where row begins with the key: pairs of near rows (PAIR), and the first and last
+    rows of the partition (END).
+
+    With ``labelled``, rows go on with a component, a size and a signature, and pairs are within no component and pass
+    the screen.
+    """
+    width = 1 + DEPTH + (LABEL if labelled else 0)
+    prefix = 1 + LEAST_DEPTH
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("row", pa.binary())])
+
+    def batch_of(kind: int, a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+        row = pa.nulls(len(a), pa.binary()) if rows is None else pa.array([r.tobytes() for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), row], schema=schema)
+
+    def fits(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        label, size = (np.ascontiguousarray(rows[:, c : c + 8]).view(">i8").ravel() for c in (1 + DEPTH, 9 + DEPTH))
+        ok = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
+        at = np.flatnonzero(ok)
+        ok[at] = (rows[x[at], 17 + DEPTH :] == rows[y[at], 17 + DEPTH :]).mean(1) >= WIDE_SCREEN if len(at) else False
+        return ok
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, begun = np.zeros((0, width), np.uint8), np.zeros(0, np.int64), False
-        head = 0
+        rows, ids, head = np.zeros((0, width), np.uint8), np.zeros(0, np.int64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, width)
+            new, new_ids = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.uint8).reshape(-1, width), batch.column("id").to_numpy()
             if head < window:
-                yield batch_of(1, batch.column("id").to_numpy()[: window - head], batch.column("id").to_numpy()[: window - head], new[: window - head])
+                yield batch_of(END, new_ids[: window - head], new_ids[: window - head], new[: window - head])
                 head += min(len(new), window - head)
             old = len(ids)
-            keys, ids = np.concatenate((keys, new)), np.concatenate((ids, batch.column("id").to_numpy()))
-            found = []
+            rows, ids = np.concatenate((rows, new)), np.concatenate((ids, new_ids))
+            found = [np.zeros((2, 0), np.int64)]
             for j in range(1, min(window, len(ids) - 1) + 1):
                 at = np.arange(max(0, old - j), len(ids) - j)
-                at = at[(keys[at, : 1 + LEAST_DEPTH] == keys[at + j, : 1 + LEAST_DEPTH]).all(1) & (ids[at] != ids[at + j])]
+                at = at[(rows[at, :prefix] == rows[at + j, :prefix]).all(1) & (ids[at] != ids[at + j])]
+                if labelled:
+                    at = at[fits(rows, at, at + j)]
                 found.append(np.stack((np.minimum(ids[at], ids[at + j]), np.maximum(ids[at], ids[at + j]))))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             if pairs.shape[1]:
-                yield batch_of(0, pairs[0], pairs[1])
-            keys, ids = keys[-window:], ids[-window:]
+                yield batch_of(PAIR, pairs[0], pairs[1])
+            rows, ids = rows[-window:], ids[-window:]
         if len(ids):
-            yield batch_of(1, ids, ids, keys)
+            yield batch_of(END, ids, ids, rows)
 
     return kernel
 
 
-PAIRS = "kind int, a long, b long, key binary"
-
-
-def candidates(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``nodes`` (id, sketch) that are near in some tree."""
-    ordered = tree_keys(nodes).repartitionByRange(partitions(nodes.sparkSession), "key", "id").sortWithinPartitions("key", "id")
-    found = stored(map_arrow(ordered, neighbour_pairs(window), PAIRS), "near")
+def near_pairs(rows: DataFrame, window: int, labelled: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that are near in the one sorted order of all (row, id)."""
+    ordered = rows.repartitionByRange(partitions(rows.sparkSession), "row", "id").sortWithinPartitions("row", "id")
+    found = stored(map_arrow(ordered, neighbour_pairs(window, labelled), PAIRS), "near")
     # the ends of the partitions, a few rows of each, meet in one task
-    ends = found.where("kind = 1").select("key", F.col("a").alias("id")).distinct().repartition(1).sortWithinPartitions("key", "id")
-    return found.where("kind = 0").select("a", "b").union(map_arrow(ends, neighbour_pairs(window), PAIRS).where("kind = 0").select("a", "b")).distinct()
+    ends = found.where(F.col("kind") == END).select("row", F.col("a").alias("id")).distinct().repartition(1).sortWithinPartitions("row", "id")
+    across = map_arrow(ends, neighbour_pairs(window, labelled), PAIRS)
+    return found.where(F.col("kind") == PAIR).select("a", "b").union(across.where(F.col("kind") == PAIR).select("a", "b")).distinct()
 
 
 def screened(pairs: DataFrame, nodes: DataFrame, least: float = SCREEN) -> DataFrame:
@@ -175,16 +198,32 @@ def screened(pairs: DataFrame, nodes: DataFrame, least: float = SCREEN) -> DataF
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents ``ids`` (id)."""
+    """(id, shingles) of the documents ``ids`` (id), and of some others: no text is shuffled for it.
+
+    A filter of bits by hashed id goes to the scan. Its size follows the ids up to a bound, beyond which more documents
+    pass that nobody asks for; later joins are exact either way.
+    """
+    bits = 1 << max(15, (FILTER_BITS * ids.count()).bit_length())
+    bits = min(bits, MOST_FILTER_BITS)
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    size = 1 << 15
+    image = np.zeros((bits // size + 2, size // 8), np.uint8)
+    for r in rows:
+        image[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)[: size // 8]
+    shared = docs.sparkSession.sparkContext.broadcast(image)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bucket, place = (batch.column(c).to_numpy() for c in ("bucket", "place"))
+            batch = batch.filter(pa.array(shared.value[bucket, place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
             texts = texts_of(batch)
             for a, b in spans_of_bytes(texts, BATCH_CHARS):
                 sets = [s.tobytes() for s in shingle_sets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return map_arrow(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), kernel, "id long, shingles binary")
+    some = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").withColumn("slot", slot)
+    return map_arrow(some.select("id", "text", F.bitmap_bucket_number("slot").alias("bucket"), F.bitmap_bit_position("slot").alias("place")), kernel, "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,16 +249,31 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
+def best_of(pairs: DataFrame) -> DataFrame:
+    """The likeliest pair of each node."""
+    both = pairs.union(pairs.select("b", "a", "likeness"))
+    best = both.groupBy("a").agg(F.max(F.struct("likeness", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def big_endian(number: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) that connect the ``nodes`` (id, n, sketch) as all pairs over the threshold would."""
-    near = stored(screened(candidates(nodes), nodes), "candidates")
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = stored(sets_of(docs, ends), "sets")
-    both = near.union(near.select("b", "a", "likeness"))
-    best = both.groupBy("a").agg(F.max(F.struct("likeness", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    first = stored(confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), "links")
-    rest = apart(near, components(first))
-    return stored(first.union(confirmed(rest, sets)), "links")
+    pairs = stored(near_pairs(tree_keys(nodes), WINDOW), "pairs")
+    near = stored(screened(pairs, nodes), "candidates")
+    # in a run wider than the window every node has as many candidates at least
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+    crowd = stored(ends.where(F.col("n") >= WINDOW).select("id"), "dense")
+    asked = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).union(crowd).distinct()
+    sets = stored(sets_of(docs, asked), "sets")
+    found = stored(confirmed(best_of(near), sets), "links")
+    found = stored(found.union(confirmed(apart(near, components(found)), sets)), "links")
+    dense = nodes.join(crowd, "id", "left_semi").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    wide = near_pairs(tree_keys(dense, big_endian(F.col("component")), big_endian(F.col("n")), F.col("sketch")), WIDE_WINDOW, labelled=True)
+    return stored(found.union(confirmed(wide, sets)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
