@@ -21,7 +21,7 @@ from tessera.llm.pretokens import OTHER, SPACE, PieceCache, class_table, code_po
 from tessera.llm.word_tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Pieces of more bytes merge through a heap, as a matrix of that width would take time in the square of it.
 WIDEST = 256
 NEVER = np.int32(2**31 - 1)
@@ -62,7 +62,7 @@ class PairTable:
 
 
 class ByteBpe:
-    def __init__(self, path: str, cache: int = 2_000_000):
+    def __init__(self, path: str, cache: int = 700_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if min(ranks.values()) < 0 or max(ranks.values()) > 0xFFFF or any(bytes([b]) not in ranks for b in range(256)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from tessera.cluster import ship
 
 #: Rows and bytes of an Arrow batch handed to Python.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _own_scratch: dict[str, str] = {}
 
@@ -72,10 +73,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: a Python worker stays, and its next task may need it less than the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     arrow_batches(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return df.mapInArrow(work, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

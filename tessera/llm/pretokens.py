@@ -109,7 +109,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class PieceCache:
     """Token ids of pieces already met, by hash, in flat sorted arrays; emptied when it holds ``limit`` pieces."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 700_000):
         self.limit = limit
         self.clear()
 

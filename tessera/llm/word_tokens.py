@@ -21,7 +21,7 @@ END_ID = 1
 #: Code points under this are composed already, and lower-case to one code point each but for the one in _ODD.
 PLAIN = 0x250
 _ODD = re.compile(f"[^\x00-{chr(PLAIN - 1)}]|İ")
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,7 +41,7 @@ def byte_letters() -> list[str]:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, cache: int = 2_000_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
