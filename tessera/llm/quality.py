@@ -28,7 +28,7 @@ from tessera.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, class_table, cod
 BATCH_CHARS = 500_000
 THRESHOLD = 0.3
 #: Shares of the pooled covariance, and of the identity, in each class covariance.
-TO_POOLED, TO_IDENTITY = 0.1, 0.02
+TO_POOLED, TO_IDENTITY = 0.3, 0.02
 #: Scores stay this far from 0 and 1 in log odds.
 MOST_LOG_ODDS = 30.0
 
