@@ -4,13 +4,12 @@ A document is its set of 5-word shingles. Documents with equal sets become one n
 nodes by a key of signature levels; the keys of all trees are range-partitioned and sorted together, so a dense region
 is spread over tasks like any other. In an order, the neighbours of a node are its candidates as long as their common
 prefix has ``LEAST_DEPTH`` levels: a sparse region is searched down to that depth, and a dense one as deep as its
-nearest ``WINDOW`` neighbours reach. Two sets of similarity 0.75 share a prefix of that depth in none of the trees with
-probability (1 - 0.75**4)**40, under 1e-6.
+nearest neighbours on either side (``WINDOW``) reach. Two sets of similarity 0.75 share a prefix of that depth in none
+of the trees with probability (1 - 0.75**4)**40, under 1e-6.
 
 Candidates are screened by their signatures, far below the threshold, and confirmed on full sets: first the best one of
-each node, then those that still join two components. The nodes of regions wider than the window are searched once
-more, with a wide window and for neighbours of other components alone, so that a large group that is one already costs
-no more pairs.
+each node, then those that still join two components. Nodes with ``MANY`` candidates are searched once more, with a
+wide window and for neighbours of other components alone, so that a large group that is one already costs no more pairs.
 
 Nulls and edge cases: a document without words (null, empty or blank text) has no shingles and is linked with nothing.
 Rows without a doc_id are linked with nothing, too. Rows that share a doc_id are one node. Texts of any length are used
@@ -36,8 +35,9 @@ TREES = 40
 LEAST_DEPTH = 4
 DEPTH = 12
 HASHES = TREES * LEAST_DEPTH
-WINDOW = 2
-#: The window of the second search, over nodes with more candidates than the first one, for neighbours in other components.
+WINDOW = 1
+#: Nodes with so many candidates are searched again, with this wide window and for neighbours in other components.
+MANY = 2
 WIDE_WINDOW = 32
 #: Share of equal signature levels under which a candidate is not looked at; 0.75 less about six standard deviations, and
 #: less about three where the candidates of dense regions are many.
@@ -264,9 +264,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) that connect the ``nodes`` (id, n, sketch) as all pairs over the threshold would."""
     pairs = stored(near_pairs(tree_keys(nodes), WINDOW), "pairs")
     near = stored(screened(pairs, nodes), "candidates")
-    # in a run wider than the window every node has as many candidates at least
+    # a node in a wider run has several candidates: its neighbours differ from tree to tree
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
-    crowd = stored(ends.where(F.col("n") >= WINDOW).select("id"), "dense")
+    crowd = stored(ends.where(F.col("n") >= MANY).select("id"), "dense")
     asked = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).union(crowd).distinct()
     sets = stored(sets_of(docs, asked), "sets")
     found = stored(confirmed(best_of(near), sets), "links")
