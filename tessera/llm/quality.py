@@ -12,7 +12,6 @@ share. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
-import base64
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -154,7 +153,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Sums over (x, label): each partition sends one row per class to the driver, of a size that the statistics fix."""
+    """Sums over (x, label): each partition adds its rows up, and the entries of the sums are added up by Spark."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -164,13 +163,17 @@ def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
             for k in np.unique(y).tolist():
                 sums[k] = sums.get(k, 0) + x[y == k].T @ x[y == k]
         for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([base64.b64encode(s.tobytes()).decode()])], ["label", "sums"])
-
-    total: dict[int, np.ndarray] = {}
-    for k, s in map_arrow(rows.select("x", "label").coalesce(64), kernel, "label int, sums string").collect():
-        m = np.frombuffer(base64.b64decode(s))
-        total[k] = total.get(k, 0) + m.reshape(math.isqrt(len(m)), -1)
-    return {k: (m[0, 0], m[0, 1:], m[1:, 1:]) for k, m in total.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], ["label", "sums"])
+
+    parts = map_arrow(rows.select("x", "label"), kernel, "label int, sums array<double>")
+    total: dict[int, dict[int, float]] = {}
+    for k, at, value in parts.select("label", F.posexplode("sums").alias("at", "value")).groupBy("label", "at").agg(F.sum("value")).collect():
+        total.setdefault(k, {})[at] = value
+    out = {}
+    for k, entries in total.items():
+        m = np.array([entries[i] for i in range(len(entries))]).reshape(math.isqrt(len(entries)), -1)
+        out[k] = (m[0, 0], m[0, 1:], m[1:, 1:])
+    return out
 
 
 def score(rows: DataFrame, model: Discriminant) -> DataFrame:

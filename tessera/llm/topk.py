@@ -5,8 +5,9 @@ inverted into postings (row, weight) per term. The queries of a block go through
 postings into the dense score arrays of the queries that have it. A partition then selects the k best of each array,
 and blocks are merged by (score, id).
 
-Weights beyond 2**24 in size are taken as that, so sums stay exact in 64 bits. See ``vectors`` for nulls, ties and
-repeated rows.
+Sums are exact. A pair of blocks whose largest weights might take a sum beyond 64 bits is added up in integers of any
+size; a score that a long can't hold becomes the nearest one that it can. See ``vectors`` for nulls, ties, repeated rows
+and clashing columns.
 """
 
 from __future__ import annotations
@@ -19,13 +20,22 @@ from tessera.llm.vectors import own_rows, search_blocks, usable
 
 SCALE = 256
 K = 5
-MOST_WEIGHT = float(1 << 24)
 QUERIES_AT_ONCE = 128
-NEVER = -(1 << 62)
+#: Sums under this can't overflow; what a row that is no candidate scores; the highest score.
+SAFE, NEVER, MOST = 2.0**62, -(1 << 63), (1 << 63) - 1
 
 
 def weights(v: np.ndarray, scale: float = SCALE) -> np.ndarray:
-    return np.clip(np.floor(scale * v), -MOST_WEIGHT, MOST_WEIGHT).astype(np.int64)
+    """floor(scale * v) in 64 bits, or as integers of any size where one is larger."""
+    with np.errstate(over="ignore"):
+        w = np.nan_to_num(np.floor(scale * v))
+    if np.abs(w).max(initial=0) < SAFE:
+        return w.astype(np.int64)
+    return np.array([int(x) for x in w.ravel()], object).reshape(w.shape)
+
+
+def largest(w: np.ndarray) -> float:
+    return float(max(-w.min(initial=0), w.max(initial=0)))
 
 
 def postings(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -35,7 +45,10 @@ def postings(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def accumulate(q: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """Scores of the queries ``q`` (weights) over ``n`` candidates, a term at a time."""
-    scores = np.zeros((len(q), n), np.int64)
+    bound = sum(largest(q[:, term]) * largest(weight) for term, (_, weight) in enumerate(lists))
+    wide = not bound < SAFE
+    scores = np.zeros((len(q), n), object if wide else np.int64)
+    q = q.astype(scores.dtype)
     for term, (rows, weight) in enumerate(lists):
         has = np.flatnonzero(q[:, term])
         if not len(has) or not len(rows):
@@ -47,14 +60,14 @@ def accumulate(q: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], n: int
             scores[has] += add
         else:
             scores[np.ix_(has, rows)] += add
-    return scores
+    return np.clip(scores, NEVER + 1, MOST).astype(np.int64) if wide else scores
 
 
 def select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k highest of each row, but for NEVER; of equal scores the lower columns."""
     n = scores.shape[1]
     if n > k:
-        bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        bound = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
         over, tied = scores > bound, scores == bound
         keep = over | tied & (np.cumsum(tied, axis=1) <= k - over.sum(1, keepdims=True))
     else:

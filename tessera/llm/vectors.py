@@ -1,15 +1,16 @@
 """Blocks of vectors, and how a stated set of queries meets all of them.
 
 Vectors are packed into blocks of some thousand rows, and queries into blocks of some hundred. A query block is sent
-once to each of as many groups as there are shuffle partitions; blocks of vectors are dealt over the groups. So no task
-depends on how vectors are spread in space, and one vector that a third of the rows share is dealt like any other. A
-task holds one pair of blocks at a time; each pair yields k rows per query, and ranking keeps k per task before the
-last shuffle.
+once to each of as many groups as there are shuffle partitions; blocks of vectors are dealt over the groups, and every
+group has a partition to itself. So no task depends on how vectors are spread in space, and one vector that a third of
+the rows share is dealt like any other. A task holds one pair of blocks at a time; each pair yields k rows per query,
+and ranking keeps k per task before the last shuffle.
 
 Null vectors, empty ones and those with a null or non-finite component take no part, nor do rows without an id. A
 vector shorter than another is taken to go on with zeros. A query id that occurs more than once counts once, with the
 smallest of its vectors; every row with the query's id is its own and is no candidate. Candidate rows that repeat an id
-are ranked each.
+are ranked each. Equal scores rank by id. Only the id and the vector are read, so other columns of whatever name don't
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,14 +41,21 @@ def usable(df: DataFrame, id: str = "vec_id", vector: str = "embedding", nonzero
     return df.where(F.coalesce(keep, F.lit(False))).select(F.col(id).cast("long").alias("id"), v.alias("v"))
 
 
-def packed(df: DataFrame, rows: int, groups: int | None = None) -> DataFrame:
+def dealt(spark: SparkSession, groups: int) -> list[int]:
+    """``groups`` numbers that Spark's hash partitioning deals to as many different partitions."""
+    number = F.col("id").cast("int")
+    rows = spark.range(32 * groups + 64).groupBy(F.pmod(F.hash(number), F.lit(groups)).alias("place")).agg(F.min(number).alias("g")).collect()
+    return sorted(r.g for r in rows)
+
+
+def packed(df: DataFrame, rows: int, groups: list[int] | None = None) -> DataFrame:
     """Blocks of at most ``rows`` rows of (id, v), in ascending order of id within a block; dealt over ``groups`` if given."""
     schema = ("g int, " if groups else "") + BLOCK
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         parts: list[np.ndarray] = []
-        at, held = TaskContext.get().partitionId(), 0
+        at, held = 31 * TaskContext.get().partitionId(), 0
 
         def block() -> pa.RecordBatch:
             nonlocal at, held
@@ -62,8 +70,8 @@ def packed(df: DataFrame, rows: int, groups: int | None = None) -> DataFrame:
             out = [pa.array([all_ids[order].tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([data[order].tobytes()], pa.binary())]
             names = ["ids", "width", "data"]
             if groups:
-                out, names = [pa.array([at % groups], pa.int32()), *out], ["g", *names]
-            at, held = at + 7, 0
+                out, names = [pa.array([groups[at % len(groups)]], pa.int32()), *out], ["g", *names]
+            at, held = at + 1, 0
             ids.clear()
             parts.clear()
             return pa.RecordBatch.from_arrays(out, names)
@@ -103,9 +111,9 @@ def search_blocks(rows: DataFrame, is_query: Column, search: Search, k: int, sco
     ``search`` takes the ids and vectors of a block of queries and of a block of candidates, and returns the query's
     index, candidate id and score of at least the k best of each query in the block (all, if fewer).
     """
-    groups = partitions(rows.sparkSession)
+    groups = dealt(rows.sparkSession, partitions(rows.sparkSession))
     queries = packed(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS)
-    queries = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    queries = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.explode(F.array(*[F.lit(g) for g in groups])).alias("g"))
     schema = f"query_id long, vec_id long, score {score_type}"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
