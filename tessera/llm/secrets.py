@@ -5,13 +5,17 @@ token characters with a digit in it), the stretch covered by windows whose Shann
 candidate's character class. The window slides by incremental counts: one symbol enters, one leaves, and the sum of
 ``c * log2(c)`` changes by their two terms. Candidates on the allow list, and those that meet a base span, add nothing.
 
-Nulls and edge cases: a null text is an empty one; offsets are code points, ends exclusive. Columns named like an added
-one are replaced. There is no shuffle: every row is handled alone, so repeated rows get equal results.
+Nulls and edge cases: a null text is an empty one; offsets are code points, ends exclusive. ``find_secrets`` replaces
+columns named like the two that it adds; ``redact`` leaves columns of whatever name alone. Matches of one pattern never
+overlap, and spans of equal start are in the order of their kinds. Positions in a long text are sums over the square
+root of its matches, so time grows little faster than the text. There is no shuffle: every row is handled alone, so
+repeated rows get equal results, and an empty table an empty one.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +44,40 @@ ALLOWED = [
 ]
 KINDS = ["assign", "access", "hex", *(k for k, _, _ in ENTROPY_KINDS)]
 MARK = "[SECRET]"
+STRETCH = 4096
 
 
-def places(text: Column, matches: Column) -> Column:
-    """(s, m) for each match m of a pattern without look-around, in order: it is where m next occurs after the one before.
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    An earlier occurrence of m after the previous match would have been a match itself.
+
+def places(text: Column, pattern: str, matches: Column) -> Column:
+    """(s, m) for each match m of ``pattern``: it starts after the matches and the stretches between them that come before.
+
+    Lengths are added up in blocks of the square root of their number, and blocks by the sums of those before.
     """
     empty = F.array().cast("array<struct<s:int,m:string>>")
 
-    def add(acc: Column, m: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        after = F.coalesce(last["s"] + F.char_length(last["m"]), F.lit(0))
-        return F.concat(acc, F.array(F.struct((F.call_function("locate", m, text, after + 1) - 1).alias("s"), m.alias("m"))))
+    def located(sizes: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, block), lambda i: F.slice(sizes, i + 1, block))
+        return let(F.transform(blocks, in_block), lambda b: let(before(b), lambda at: F.flatten(F.transform(b, lambda x, i: F.transform(x["found"], lambda y: F.struct((y["s"] + F.get(at, i)).alias("s"), y["m"].alias("m")))))))
+
+    def in_block(sizes: Column) -> Column:
+        start = F.struct(empty.alias("found"), F.lit(0).alias("at"))
+
+        def add(acc: Column, x: Column) -> Column:
+            at = acc["at"] + F.char_length(x["gap"])
+            return F.struct(F.concat(acc["found"], F.array(F.struct(at.alias("s"), x["m"].alias("m")))).alias("found"), (at + F.char_length(x["m"])).alias("at"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(matches, empty, add)).otherwise(empty)
+        return F.aggregate(sizes, start, add)
+
+    def before(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+    return F.when(F.size(matches) > 0, let(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), located)).otherwise(empty)
 
 
 def spans(found: Column, kind: int) -> Column:
@@ -93,13 +116,23 @@ def hot_stretch(word: Column, bound: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(word) - 1), start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def in_blocks(some: Column) -> Column:
+    """Ascending disjoint spans in blocks (s, e, spans) of the square root of their number."""
+    step = F.greatest(F.ceil(F.sqrt(F.size(some))).cast("int"), F.lit(1))
+    block = lambda b: F.struct(F.get(b, 0)["s"].alias("s"), F.element_at(b, -1)["e"].alias("e"), b.alias("spans"))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(some), step), lambda i: i < F.size(some)), lambda i: let(F.slice(some, i + 1, step), block))
+
+
 def entropy_spans(found: Column, base: Column, allowed: list[str]) -> Column:
-    """Spans of the entropy kinds among the candidates ``found`` (s, m) that meet no span of ``base``."""
+    """Spans of the entropy kinds among the candidates ``found`` (s, m) that hold no access or hex key (a key of these
+    two kinds lies within one candidate) and meet no span of ``base``, which has the other ones ``in_blocks``."""
+    meets = lambda b, x: (b["s"] < x["s"] + F.char_length(x["m"])) & (x["s"] < b["e"])
     suspect = F.filter(
         found,
         lambda x: x["m"].rlike("[0-9]")
-        & ~F.rlike(x["m"], F.lit("|".join(f"(?:{p})" for p in allowed)))
-        & ~F.exists(base, lambda b: (b["s"] < x["s"] + F.char_length(x["m"])) & (x["s"] < b["e"])),
+        & ~F.rlike(x["m"], F.lit("|".join(f"(?:{p})" for p in [ACCESS, HEX])))
+        & ~(F.rlike(x["m"], F.lit("|".join(f"(?:{p})" for p in allowed))) if allowed else F.lit(False))
+        & ~F.exists(base, lambda b: meets(b, x) & F.exists(b["spans"], lambda one: meets(one, x))),
     )
     kind, bound = F.lit(None).cast("int"), F.lit(None).cast("double")
 
@@ -119,40 +152,62 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def with_spans(docs: DataFrame, text: str, allowed: list[str], base: str, every: str) -> DataFrame:
+    """``docs`` with the arrays of spans under the names ``base`` and ``every``, which are free."""
+    names = [f"`{c}`" for c in docs.columns]
+    body, words = F.coalesce(F.col(text), F.lit("")), f"{every}-words"
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "word": CANDIDATE}
+    out = docs.withColumn(words, F.struct(*[F.regexp_extract_all(body, F.lit(p), F.lit(0)).alias(n) for n, p in patterns.items()]))
+    found = {n: F.col(f"`{words}`")[n] for n in patterns}
+    some = F.size(found["assign"]) + F.size(found["access"]) + F.size(found["hex"]) > 0
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    assign = spans(F.filter(places(body, ASSIGN, found["assign"]), lambda x: F.char_length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST), 0)
+    keys = F.concat(assign, spans(places(body, ACCESS, found["access"]), 1), spans(places(body, HEX, found["hex"]), 2))
+    out = out.withColumn(base, F.when(some, F.array_sort(keys)).otherwise(none))
+    secret = lambda: F.filter(F.col(f"`{base}`"), lambda x: x["k"] == 0)
+    more = let(let(secret(), in_blocks), lambda b: entropy_spans(places(body, CANDIDATE, found["word"]), b, allowed))
+    out = out.withColumn(every, F.when(F.exists(found["word"], lambda w: w.rlike("[0-9]")), more).otherwise(none))
+    both = F.when(F.size(F.col(f"`{every}`")) > 0, F.array_sort(F.concat(F.col(f"`{base}`"), F.col(f"`{every}`")))).otherwise(F.col(f"`{base}`"))
+    return out.withColumn(every, both).select(*names, f"`{base}`", f"`{every}`")
+
+
 def find_secrets(docs: DataFrame, text: str = "text", allowed: list[str] | None = None) -> DataFrame:
     """Adds ``base_spans`` and ``all_spans``, arrays of (s, k, e) by start then kind, where k counts in KINDS."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    allowed = ALLOWED if allowed is None else allowed
-    docs = docs.drop("base_spans", "all_spans")
-    out = docs.withColumn(
-        "found_",
-        F.struct(*[F.regexp_extract_all(body, F.lit(p), F.lit(0)).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("word", CANDIDATE))]),
-    )
-    any_base = F.size("found_.assign") + F.size("found_.access") + F.size("found_.hex") > 0
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    assign = F.filter(places(body, F.col("found_.assign")), lambda x: F.char_length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    base = F.concat(spans(assign, 0), spans(places(body, F.col("found_.access")), 1), spans(places(body, F.col("found_.hex")), 2))
-    out = out.withColumn("base_spans", F.when(any_base, F.array_sort(base)).otherwise(none))
-    more = entropy_spans(places(body, F.col("found_.word")), F.col("base_spans"), allowed)
-    return out.withColumn("more_", F.when(F.exists("found_.word", lambda w: w.rlike("[0-9]")), more).otherwise(none)).withColumn(
-        "all_spans", F.when(F.size("more_") > 0, F.array_sort(F.concat("base_spans", "more_"))).otherwise(F.col("base_spans"))
-    ).drop("found_", "more_")
+    return with_spans(docs.drop("base_spans", "all_spans"), text, ALLOWED if allowed is None else allowed, "base_spans", "all_spans")
 
 
 def redacted(text: Column, found: Column, mark: str = MARK) -> Column:
-    """The text with every stretch covered by spans (sorted by start) replaced by one mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with every stretch covered by spans (sorted by start) replaced by one mark.
 
-    def cut(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+    The fold cuts from a stretch of the text and adds to a string of about ``STRETCH`` characters, so that a step costs
+    no more in a long text; finished strings are joined at the end.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("base"), F.lit("").alias("part"))
 
-    folded = F.aggregate(found, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    def cut(acc: Column, x: Column) -> Column:
+        over = x["s"] - acc["base"] > F.char_length(acc["part"])
+        here = F.struct(F.when(over, acc["at"]).otherwise(acc["base"]).alias("base"), F.when(over, F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(STRETCH)))).otherwise(acc["part"]).alias("part"))
+
+        def fresh(h: Column) -> Column:
+            added = F.concat(F.substring(h["part"], acc["at"] - h["base"] + 1, x["s"] - acc["at"]), F.lit(mark))
+            return F.struct(
+                F.when(over, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"]).alias("done"),
+                F.when(over, added).otherwise(F.concat(acc["out"], added)).alias("out"),
+                x["e"].alias("at"),
+                h["base"].alias("base"),
+                h["part"].alias("part"),
+            )
+
+        longer = F.struct(acc["done"], acc["out"], F.greatest(acc["at"], x["e"]).alias("at"), acc["base"], acc["part"])
+        return F.when(x["s"] >= acc["at"], let(here, fresh)).otherwise(longer)
+
+    folded = F.aggregate(found, start, cut, lambda acc: F.concat(F.array_join(acc["done"], ""), acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(found) > 0, folded).otherwise(text)
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", allowed: list[str] | None = None) -> DataFrame:
     """``docs`` with the secrets in its texts masked, and nothing else changed; a null text becomes empty."""
-    names = docs.columns
-    out = find_secrets(docs, text).withColumn(text, redacted(F.coalesce(F.col(text), F.lit("")), F.col("all_spans")))
-    return out.select(*[f"`{n}`" for n in names])
+    base, every = (f"{k}-{uuid.uuid4().hex}" for k in ("base", "every"))
+    out = with_spans(docs, text, ALLOWED if allowed is None else allowed, base, every)
+    clean = redacted(F.coalesce(F.col(text), F.lit("")), F.col(f"`{every}`"))
+    return out.select(*[(clean.alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
