@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import own_rows, search_blocks, usable
+from tessera.llm.vectors import Side, own_rows, search_blocks, usable
 
 SCALE = 256
 K = 5
@@ -78,7 +78,8 @@ def select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k(df: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``df`` where ``is_query`` (over the column id) holds."""
 
-    def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(queries: Side, block: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (q_ids, q, _), (ids, v, _) = queries, block
         lists, w = postings(weights(v, scale)), weights(q, scale)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a in range(0, len(w), QUERIES_AT_ONCE):

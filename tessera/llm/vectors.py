@@ -28,7 +28,10 @@ from tessera.llm.common import map_arrow, partitions
 
 ROWS = 4096
 QUERY_ROWS = 512
-BLOCK = "ids binary, width int, data binary"
+BLOCK = "ids binary, width int, data binary, more binary"
+
+#: Bytes that go along with a block, made once from its vectors.
+More = Callable[[np.ndarray], bytes]
 
 
 def usable(df: DataFrame, id: str = "vec_id", vector: str = "embedding", nonzero: bool = False) -> DataFrame:
@@ -48,8 +51,11 @@ def dealt(spark: SparkSession, groups: int) -> list[int]:
     return sorted(r.g for r in rows)
 
 
-def packed(df: DataFrame, rows: int, groups: list[int] | None = None) -> DataFrame:
-    """Blocks of at most ``rows`` rows of (id, v), in ascending order of id within a block; dealt over ``groups`` if given."""
+def packed(df: DataFrame, rows: int, groups: list[int] | None = None, least: int = 1, more: More | None = None) -> DataFrame:
+    """Blocks of at most ``rows`` rows of (id, v), in ascending order of id within a block; dealt over ``groups`` if given.
+
+    Vectors of a block are as wide as its widest, and ``least`` at least.
+    """
     schema = ("g int, " if groups else "") + BLOCK
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +65,7 @@ def packed(df: DataFrame, rows: int, groups: list[int] | None = None) -> DataFra
 
         def block() -> pa.RecordBatch:
             nonlocal at, held
-            width = max(p.shape[1] for p in parts)
+            width = max(least, *(p.shape[1] for p in parts))
             data = np.zeros((held, width))
             row = 0
             for p in parts:
@@ -67,8 +73,9 @@ def packed(df: DataFrame, rows: int, groups: list[int] | None = None) -> DataFra
                 row += len(p)
             all_ids = np.concatenate(ids)
             order = np.argsort(all_ids, kind="stable")
-            out = [pa.array([all_ids[order].tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([data[order].tobytes()], pa.binary())]
-            names = ["ids", "width", "data"]
+            data = data[order]
+            out = [pa.array([all_ids[order].tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.array([more(data) if more else None], pa.binary())]
+            names = ["ids", "width", "data", "more"]
             if groups:
                 out, names = [pa.array([groups[at % len(groups)]], pa.int32()), *out], ["g", *names]
             at, held = at + 1, 0
@@ -102,30 +109,32 @@ def unpacked(ids: bytes, width: int, data: bytes, to: int) -> tuple[np.ndarray,
     return np.frombuffer(ids, np.int64), rows
 
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Side = tuple[np.ndarray, np.ndarray, bytes | None]
+Search = Callable[[Side, Side], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def search_blocks(rows: DataFrame, is_query: Column, search: Search, k: int, score_type: str, descending: bool) -> DataFrame:
+def search_blocks(rows: DataFrame, is_query: Column, search: Search, k: int, score_type: str, descending: bool, width: int = 1, probe: More | None = None, index: More | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query among ``rows`` (id, v).
 
-    ``search`` takes the ids and vectors of a block of queries and of a block of candidates, and returns the query's
-    index, candidate id and score of at least the k best of each query in the block (all, if fewer).
+    ``search`` takes a block of queries and a block of candidates, each as ids, vectors (``width`` wide at least) and
+    what ``probe`` or ``index`` made of the vectors. It returns the query's index, candidate id and score of at least
+    the k best of each query in the block (all, if fewer).
     """
     groups = dealt(rows.sparkSession, partitions(rows.sparkSession))
-    queries = packed(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS)
-    queries = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.explode(F.array(*[F.lit(g) for g in groups])).alias("g"))
+    queries = packed(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS, least=width, more=probe)
+    queries = queries.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.col("more").alias("q_more"), F.explode(F.array(*[F.lit(g) for g in groups])).alias("g"))
     schema = f"query_id long, vec_id long, score {score_type}"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                width = max(row["width"], row["q_width"])
-                q_ids, q = unpacked(row["q_ids"], row["q_width"], row["q_data"], width)
-                ids, v = unpacked(row["ids"], row["width"], row["data"], width)
-                index, found, score = search(q_ids, q, ids, v)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[index]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+                to = max(row["width"], row["q_width"])
+                q_ids, q = unpacked(row["q_ids"], row["q_width"], row["q_data"], to)
+                ids, v = unpacked(row["ids"], row["width"], row["data"], to)
+                which, found, score = search((q_ids, q, row["q_more"]), (ids, v, row["more"]))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[which]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    pairs = map_arrow(packed(rows, ROWS, groups).join(queries, "g").drop("g"), kernel, schema)
+    pairs = map_arrow(packed(rows, ROWS, groups, width, index).join(queries, "g").drop("g"), kernel, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score") if descending else F.asc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -100,4 +100,45 @@ def test_rotations_keep_lengths_and_signed_axes():
     y = neighbours.rotated(x, 3)
     assert y.shape == (9, 32) and np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
     assert neighbours.buckets(np.array([[0.1, -3.0], [2.0, 1.0]])).tolist() == [3, 0]
-    assert neighbours.probed(y, 4).sum(1).tolist() == [4] * 9 and neighbours.probed(y, 4)[np.arange(9), neighbours.buckets(y)].all()
+    asked = neighbours.probed(y, 4)
+    assert asked.shape == (9, 4) and all(len(set(a)) == 4 and b in a for a, b in zip(asked.tolist(), neighbours.buckets(y).tolist(), strict=True))
+
+
+def test_tables_of_a_block_hold_every_row_in_its_bucket():
+    x = np.random.default_rng(2).normal(size=(50, 10))
+    raw = np.frombuffer(neighbours.in_tables(x, 3, 1), np.int32)
+    edges, members = raw[: 3 * 33].reshape(3, 33), raw[3 * 33 :]
+    for t in range(3):
+        own = neighbours.buckets(neighbours.rotated(neighbours.units(x), t, 3, 1))
+        for b in range(32):
+            assert members[edges[t, b] : edges[t, b + 1]].tolist() == np.flatnonzero(own == b).tolist()
+
+
+def test_recall_with_log_normal_norms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64)) * rng.lognormal(0, 1, (4000, 1))
+    df = spark.createDataFrame([(i, v.tolist(), "more", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, data string, width int")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 40 and hits / 400 >= 0.9
+
+
+def test_exact_topk_of_large_components(spark):
+    rows = [(0, [1e6, 0.0]), (1, [1e6, 0.0]), (2, [2e6, 0.0]), (3, [3.0, 0.0]), (50, [1e300, -1e300]), (51, [1e300, 0.0]), (52, [-1e300, 0.0]), (53, [1e17, 1e17])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    fits = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    for q in (0, 50):
+        w = [[int(math.floor(256 * x)) for x in v] for _, v in rows]
+        mine = w[[i for i, _ in rows].index(q)]
+        best = sorted((-fits(sum(a * b for a, b in zip(mine, x, strict=True))), i) for x, (i, _) in zip(w, rows, strict=True) if i != q)[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert {i: s for _, i, s in got[0]}[2] == 131072000000000000 and {i: s for _, i, s in got[0]}[1] == 65536000000000000
