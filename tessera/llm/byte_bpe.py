@@ -2,6 +2,12 @@
 
 The distinct pieces of a batch are padded into matrices of similar width. Each round looks the pairs up in a hash
 table, merges in every row the leftmost pair of least rank, drops one column, and takes finished rows out.
+
+Nulls and edge cases: a null text is encoded as an empty one, which has no ids and decodes to nothing; null ids decode
+to null. Texts of any length are encoded whole. A piece of more than ``WIDEST`` bytes would take time in the square of
+its length in a matrix, so a heap does the same merges. Of pairs of equal rank the leftmost is merged first. Every row
+is handled alone, so repeated rows get equal results, and an empty table an empty one. Columns named like an added one
+are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_arrow, spans_of_bytes, texts_of
-from tessera.llm.pretokens import OTHER, SPACE, PieceCache, class_table, code_points, contractions, distinct, mixed, per_text, range_hashes, runs, taken
+from tessera.llm.pretokens import OTHER, SPACE, PieceCache, class_table, code_points, contractions, ids_of_pieces, mixed, per_text, runs, taken
 from tessera.llm.word_tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -118,18 +124,12 @@ class ByteBpe:
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, starts = code_points(texts)
         start, end = self.pieces(points, starts)
-        keys, first, inverse = distinct(range_hashes(self.codes[points], start, end))
-        slot, there = self.cache.find(keys)
-        if not there.all():
-            if len(self.cache.keys) + (~there).sum() > self.cache.limit:
-                self.cache.clear()
-                there[:] = False
-            new = np.flatnonzero(~there)
-            flat = "".join(texts)
-            ids, size = self.merge([flat[i:j].encode("utf-8", "replace") for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            self.cache.add(keys[new], ids, size)
-            slot, _ = self.cache.find(keys)
-        ids, counts = self.cache.gather(slot[inverse])
+        flat = "".join(texts)
+
+        def fresh(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self.merge([flat[i:j].encode("utf-8", "replace") for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+
+        ids, counts = ids_of_pieces(self.cache, self.codes, points, start, end, fresh)
         return ids.astype(np.uint32), per_text(counts, start, starts)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ reach a tokenizer.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -107,33 +108,82 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class PieceCache:
-    """Token ids of pieces already met, by hash, in flat sorted arrays; emptied when it holds ``limit`` pieces."""
+    """Token ids of pieces already met, by hash, in flat sorted arrays; emptied when it holds ``limit`` pieces.
+
+    The code points of a piece are kept with it, and a piece is found only if they are the same.
+    """
 
     def __init__(self, limit: int = 700_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.points = np.zeros(0, np.uint16), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each key, and whether its piece ``points[start:start+length]`` is there; keys ascend.
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slot of each key, and whether it is there; keys ascend."""
+        If another piece with the same hash is there, the cache is emptied.
+        """
         slot = np.searchsorted(self.keys, keys)
         slot[slot == len(self.keys)] = 0
-        return slot, self.keys[slot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        at = np.concatenate(([0], np.cumsum(size)[:-1])) + len(self.ids) if len(size) else np.zeros(0, np.int64)
-        keys, at, size = np.concatenate((self.keys, keys)), np.concatenate((self.at, at)), np.concatenate((self.size, size))
+        if not len(self.keys):
+            return slot, np.zeros(len(keys), bool)
+        there = self.keys[slot] == keys
+        old, start, length = slot[there], start[there], length[there]
+        if not (np.array_equal(self.length[old], length) and np.array_equal(taken(self.points, self.from_[old], length), taken(points, start, length))):
+            self.clear()
+            there[:] = False
+        return slot, there
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        places = lambda n, after: np.concatenate(([0], np.cumsum(n)[:-1])) + after if len(n) else np.zeros(0, np.int64)
+        at, from_ = places(size, len(self.ids)), places(length, len(self.points))
+        keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size, self.ids = keys[order], at[order], size[order], np.concatenate((self.ids, ids.astype(np.uint16)))
+        self.keys = keys[order]
+        self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        self.from_, self.length = np.concatenate((self.from_, from_))[order], np.concatenate((self.length, length))[order]
+        self.ids, self.points = np.concatenate((self.ids, ids.astype(np.uint16))), np.concatenate((self.points, taken(points, start, length)))
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slots one after another, and how many each has."""
         return taken(self.ids, self.at[slots], self.size[slots]), self.size[slots]
 
 
+#: Makes the ids of pieces, given as starts and ends: all ids one after another, and how many each piece has.
+Fresh = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def ids_of_pieces(cache: PieceCache, codes: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray, fresh: Fresh) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces ``points[start:end]`` one after another, and how many each has; ``fresh`` makes unknown ones.
+
+    Pieces are numbered by hash, and every one is compared with the one that stands for its hash; should two differ,
+    the batch is numbered by its texts and does without the cache.
+    """
+    keys, first, inverse = distinct(range_hashes(codes[points], start, end))
+    length = end - start
+    same = first[inverse]
+    if not (np.array_equal(length, length[same]) and np.array_equal(taken(points, start, length), taken(points, start[same], length))):
+        number, found = pd.factorize(np.array([points[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)], object))
+        first = np.empty(len(found), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        ids, size = fresh(start[first], end[first])
+        return taken(ids, (np.cumsum(size) - size)[number], size[number]), size[number]
+    start, length = start[first], length[first]
+    slot, there = cache.find(keys, points, start, length)
+    if not there.all():
+        if len(cache.keys) + (~there).sum() > cache.limit:
+            cache.clear()
+            there[:] = False
+        new = np.flatnonzero(~there)
+        cache.add(keys[new], *fresh(start[new], start[new] + length[new]), points, start[new], length[new])
+        slot = np.searchsorted(cache.keys, keys)
+    return cache.gather(slot[inverse])
+
+
 def taken(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The ranges ``flat[at:at+size]`` one after another."""
     ends = np.cumsum(size)

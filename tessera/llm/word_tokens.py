@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 from tessera.llm.common import spans_of_bytes
-from tessera.llm.pretokens import NUMBER, OTHER, SPACE, PieceCache, class_table, code_points, contractions, distinct, mixed, per_text, range_hashes, runs
+from tessera.llm.pretokens import NUMBER, OTHER, SPACE, PieceCache, class_table, code_points, contractions, ids_of_pieces, mixed, per_text, runs
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -94,19 +94,13 @@ class WordTokenizer:
             start = start + np.concatenate(([0], take[:-1]))
         keep = (kind != SPACE) & (start < end)
         start, end = start[keep], end[keep]
-        keys, first, inverse = distinct(range_hashes(self.codes[points], start, end))
-        slot, there = self.cache.find(keys)
-        if not there.all():
-            if len(self.cache.keys) + (~there).sum() > self.cache.limit:
-                self.cache.clear()
-                there[:] = False
-            new = np.flatnonzero(~there)
-            s, e = start[first[new]], end[first[new]]
-            flat = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        flat = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+        def fresh(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             lists = [self.word(flat[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-            self.cache.add(keys[new], np.array([t for x in lists for t in x], np.uint16), np.array([len(x) for x in lists], np.int64))
-            slot, _ = self.cache.find(keys)
-        ids, counts = self.cache.gather(slot[inverse])
+            return np.array([t for x in lists for t in x], np.uint16), np.array([len(x) for x in lists], np.int64)
+
+        ids, counts = ids_of_pieces(self.cache, self.codes, points, start, end, fresh)
         return ids.astype(np.uint32), per_text(counts, start, starts)
 
 
