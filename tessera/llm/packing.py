@@ -6,7 +6,9 @@ so what stays over falls into ever finer classes. Each worker fills its own bins
 open bins when a partition ends is laid end to end, so a partition pads one sequence beside the small slack of slots.
 
 Nulls and edge cases: a null text is an empty one, whose document is its end id alone. Rows are packed as they come;
-repeated rows are packed each. Texts of any length are cut into as many pieces as they need.
+repeated rows are packed each, and lengths that tie in a class fill its bins in the order of rows. Texts of any length
+are cut into as many pieces as they need. Only doc_id and text are read, so other columns of whatever name don't matter;
+an empty table gives no piece.
 """
 
 from __future__ import annotations

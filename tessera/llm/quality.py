@@ -7,7 +7,8 @@ logistic of the difference of the classes' log densities plus the log prior odds
 
 Nulls and edge cases: a null text counts as empty and gets a score like any other. Rows without a label or without a
 doc_id are scored but not learned from. With no labelled rows, or those of one class, every score is 0.5 or the class's
-share. Repeated rows count as often as they occur.
+share. Repeated rows count as often as they occur, and equal texts score alike. Texts of any length are read whole. Only
+doc_id, text and the label are read, so other columns of whatever name don't matter; without rows there are none.
 """
 
 from __future__ import annotations

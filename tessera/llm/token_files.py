@@ -9,7 +9,9 @@ Spark's committer: a task that is lost or run twice leaves no half file. Rows ca
 before the segment there; what lies before a partition is one sum for each partition.
 
 Nulls and edge cases: a null text is an empty one. Rows are ordered by (doc_id, hash of the text), nulls first, so
-repeated ids stay apart and get consecutive ranges.
+repeated ids stay apart and get consecutive ranges; rows that repeat wholly are written each. A document of any length is
+one range, in a segment of its own size. Only doc_id and text are read, so other columns of whatever name don't matter;
+an empty table gives empty files.
 """
 
 from __future__ import annotations

@@ -1,13 +1,17 @@
 """Op 5, toxicity: a factorization machine over hashed terms.
 
 A text is the set of its lower-cased words, hashed to ``BITS`` bits. The model adds a weight per term and, for each pair
-of terms, the inner product of their factors, so that two terms may mean together what neither means alone. Term counts
-by class cover every labelled row (one distributed sum); the ``MOST_TERMS`` terms by chi-square are kept. The machine is
-fitted on the driver over at most ``MOST_ROWS`` labelled rows of each class, those of the smallest hashed doc_id, which
-bounds its memory; its prior is set back to that of all labelled rows.
+of terms, the inner product of their factors, so that two terms may mean together what neither means alone. It learns
+from at most ``MOST_ROWS`` labelled rows of each class, those of the smallest hashed doc_id, which bounds its memory;
+its prior is set back to that of all labelled rows. Terms are counted by class over these rows (one distributed sum).
+A first machine over all terms in ``PAIR_DOCS`` of them or more nominates those that act in pairs; of these, the pairs
+that tell more by chi-square than their terms alone stay, beside the ``MOST_TERMS`` single terms that tell most, and the
+final machine is fitted over both.
 
 Nulls and edge cases: a null text counts as empty and scores by the prior. Rows without a label or doc_id are scored but
-not learned from. With no labelled rows of one class every score is that class's share (0 with no labels at all).
+not learned from. With no labelled rows of one class every score is that class's share (0 with no labels at all). Of
+terms that tell alike, the smaller hash goes first; repeated rows are scored alike and learned from as often as they
+occur. Texts of any length are read whole. Columns named score and predicted are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ MOST_ROWS = 10_000
 LEAST_DOCS = 4
 FACTORS = 8
 LEAST_CHI = 12.0
+#: For pairs: texts that a term must be in, terms looked at, factors and epochs of the machine that nominates them, and
+#: the least chi-square of a pair, which must be so many times that of its terms.
+PAIR_DOCS, PAIR_TERMS, PAIR_FACTORS, PAIR_EPOCHS, LEAST_PAIR_CHI, PAIR_GAIN = 16, 256, 4, 4, 40.0, 3.0
+PAIR_STEPS, PAIR_STEP, PAIR_LASSO = 400, 0.1, 3e-4
 LEAST_STEPS, EPOCHS, STEP, ROWS_A_STEP = 3000, 10, 0.05, 256
 #: The first fit draws weights to zero, where terms end that only go along with the telling ones; the second fits the rest.
 LASSO, DECAY = 3e-4, 1e-4
@@ -73,13 +81,73 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("text", "label"), kernel, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
 
 
-def best_terms(counts: DataFrame, n0: int, n1: int, most: int = MOST_TERMS, least: int = LEAST_DOCS) -> np.ndarray:
-    """The terms of the highest chi-square with the label, at most ``most``, in ascending order."""
-    a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    chi = F.coalesce(F.try_divide((a * d - b * c) ** 2 * float(n0 + n1), (a + b) * (c + d) * float(n1) * float(n0)), F.lit(0.0))
-    rows = counts.where(F.col("n") >= least).select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most).collect()
-    return np.sort(np.array([r.term for r in rows], np.int64))
+def chi_square(both: np.ndarray, n: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Of a feature in ``n`` rows, ``both`` of which are in class 1, with the label of n0 + n1 rows."""
+    a, b = both.astype(float), (n - both).astype(float)
+    c, d = n1 - a, n0 - b
+    below = (a + b) * (c + d) * n1 * n0
+    return np.divide((a * d - b * c) ** 2 * (n0 + n1), below, out=np.zeros_like(a), where=below > 0)
+
+
+def single_terms(counts: pa.Table, n0: float, n1: float) -> np.ndarray:
+    """The terms of the highest chi-square with the label, at most ``MOST_TERMS``, in ascending order."""
+    term, n, own = (counts.column(c).to_numpy() for c in ("term", "n", "n1"))
+    chi = chi_square(own, n, n0, n1)
+    best = np.flatnonzero((n >= LEAST_DOCS) & (chi >= LEAST_CHI))
+    return np.sort(term[best[np.lexsort((term[best], -chi[best]))[:MOST_TERMS]]])
+
+
+def nominated(m: int, owner: np.ndarray, column: np.ndarray, label: np.ndarray, seed: int = 7) -> np.ndarray:
+    """The ``PAIR_TERMS`` columns of ``m`` with the longest factors in a machine over all of them.
+
+    Steps touch only the terms of their rows (AdaGrad); a lasso on weights and on whole factors pulls idle ones to zero.
+    """
+    rng = np.random.default_rng(seed)
+    order = np.argsort(owner, kind="stable")
+    owner, column = owner[order], column[order]
+    starts = np.searchsorted(owner, np.arange(len(label) + 1))
+    x = np.hstack((np.zeros((m, 1)), rng.normal(0, 0.05, (m, PAIR_FACTORS))))
+    squares, seen, bias, step = np.full(x.shape, 1e-4), np.zeros(m), math.log((label.sum() + 0.5) / ((1 - label).sum() + 0.5)), 0
+    for _ in range(max(PAIR_EPOCHS, -(-PAIR_STEPS * ROWS_A_STEP // max(len(label), 1)))):
+        shuffled = rng.permutation(len(label))
+        for at in range(0, len(shuffled), ROWS_A_STEP):
+            rows = shuffled[at : at + ROWS_A_STEP]
+            size = starts[rows + 1] - starts[rows]
+            ends = np.cumsum(size)
+            pick = np.repeat(starts[rows] - (ends - size), size) + np.arange(ends[-1])
+            cols, col = np.unique(column[pick], return_inverse=True)
+            row, here = np.repeat(np.arange(len(rows)), size), x[cols]
+            sums = np.stack([np.bincount(row, v[col], len(rows)) for v in here[:, 1:].T], axis=1)
+            z = bias + np.bincount(row, here[col, 0], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(row, (here[:, 1:] ** 2).sum(1)[col], len(rows)))
+            error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) / len(rows))[row]
+            total = np.bincount(col, error, len(cols))
+            slope = np.column_stack((total, *(np.bincount(col, error * s[row], len(cols)) for s in sums.T)))
+            slope[:, 1:] -= total[:, None] * here[:, 1:]
+            step += 1
+            squares[cols] += slope**2
+            pace = PAIR_STEP / np.sqrt(squares[cols])
+            here -= pace * slope
+            due = PAIR_LASSO * (step - seen[cols])
+            here[:, 0] = np.sign(here[:, 0]) * np.maximum(np.abs(here[:, 0]) - pace[:, 0] * due, 0)
+            length = np.maximum(np.sqrt((here[:, 1:] ** 2).sum(1)), 1e-12)
+            here[:, 1:] *= np.maximum(1 - pace[:, 1:].mean(1) * due / length, 0)[:, None]
+            x[cols], seen[cols] = here, step
+    return np.sort(np.argsort(-(x[:, 1:] ** 2).sum(1), kind="stable")[:PAIR_TERMS])
+
+
+def telling_pairs(some: np.ndarray, owner: np.ndarray, column: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Those of the columns ``some`` (ascending) that tell far more together with another of them than either does alone."""
+    there = np.isin(column, some)
+    has = np.zeros((len(label), len(some)), np.float32)
+    has[owner[there], np.searchsorted(some, column[there])] = 1
+    n1 = float(label.sum())
+    n0 = len(label) - n1
+    n, both = has.T @ has, (has * label[:, None].astype(np.float32)).T @ has
+    chi = chi_square(both, n, n0, n1)
+    alone = np.maximum(np.diag(chi)[:, None], np.diag(chi)[None, :])
+    tells = (chi >= LEAST_PAIR_CHI) & (chi >= PAIR_GAIN * alone) & (n >= LEAST_DOCS)
+    np.fill_diagonal(tells, False)
+    return some[tells.any(1)]
 
 
 @dataclass
@@ -93,15 +161,16 @@ class Machine:
 
     @classmethod
     def fit(cls, known: np.ndarray, owner: np.ndarray, column: np.ndarray, label: np.ndarray, prior: float, lasso: float = 0.0, seed: int = 7) -> Machine:
-        """Adam over shuffled steps of the logistic loss. (owner, column): the known terms of each row; prior: log odds of all rows."""
+        """Adam over shuffled steps of the logistic loss, with a rate that falls to zero. (owner, column): the known terms of each row; prior: log odds of all rows."""
         rng, m = np.random.default_rng(seed), len(known)
         order = np.argsort(owner, kind="stable")
         owner, column = owner[order], column[order]
         starts = np.searchsorted(owner, np.arange(len(label) + 1))
         w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)), 0.0
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v, np.zeros(1))]
-        t = 0
-        for _ in range(max(EPOCHS, -(-LEAST_STEPS * ROWS_A_STEP // max(len(label), 1)))):
+        t, epochs = 0, max(EPOCHS, -(-LEAST_STEPS * ROWS_A_STEP // max(len(label), 1)))
+        steps = epochs * -(-len(label) // ROWS_A_STEP)
+        for _ in range(epochs):
             shuffled = rng.permutation(len(label))
             for at in range(0, len(shuffled), ROWS_A_STEP):
                 rows = shuffled[at : at + ROWS_A_STEP]
@@ -117,13 +186,14 @@ class Machine:
                 g_v = DECAY * v
                 np.add.at(g_v, col, error[row][:, None] * (sums[row] - v[col]))
                 t += 1
+                rate = STEP * (1 - (t - 1) / steps)
                 for x, g, (m1, m2) in zip((w, v), (g_w, g_v), moments, strict=False):
                     m1 += 0.1 * (g - m1)
                     m2 += 0.001 * (g * g - m2)
-                    pace = STEP / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-6)
+                    pace = rate / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-6)
                     x -= pace * m1 / (1 - 0.9**t)
                     x[:] = np.sign(x) * np.maximum(np.abs(x) - pace * lasso, 0)
-                bias -= STEP * float(error.sum()) * 4
+                bias -= rate * float(error.sum()) * 4
         share = (label.sum() + 0.5) / (len(label) - label.sum() + 0.5)
         return cls(known, bias + prior - math.log(share), w, v)
 
@@ -179,11 +249,22 @@ def learn_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic", lear
     taken = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(taken) < 2:
         return none
-    best = best_terms(term_counts(rows), taken[0], taken[1])
-    if not len(best):
+    counts = term_counts(rows).where(F.col("n") >= LEAST_DOCS).toArrow()
+    best = single_terms(counts, taken[0], taken[1])
+    wide = np.sort(counts.column("term").to_numpy()[counts.column("n").to_numpy() >= PAIR_DOCS])
+    known = np.union1d(best, wide)
+    if not len(known):
         return none
-    owner, column, y = sample_terms(rows, best)
-    return Machine.fit_sparse(best, owner, column, y.astype(float), math.log((n1 + 0.5) / (n0 + 0.5)))
+    owner, column, y = sample_terms(rows, known)
+    y = y.astype(float)
+    here = np.isin(known, wide)[column]
+    numbers = np.searchsorted(known, wide)
+    near = nominated(len(wide), owner[here], np.searchsorted(numbers, column[here]), y) if len(wide) else np.zeros(0, np.int64)
+    chosen = np.union1d(np.searchsorted(known, best), telling_pairs(numbers[near], owner, column, y))
+    if not len(chosen):
+        return none
+    kept = np.isin(column, chosen)
+    return Machine.fit_sparse(known[chosen], owner[kept], np.searchsorted(chosen, column[kept]), y, math.log((n1 + 0.5) / (n0 + 0.5)))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,3 +278,15 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHO
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*(f.name for f in keep), "score", "predicted"])
 
     return map_arrow(docs.select(*[f"`{f.name}`" for f in keep]), kernel, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["score double", "predicted int"]))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that score under the threshold, with all their columns as they are."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch)
+            score = np.concatenate([machine.scores(b - a, *terms(texts[a:b])) for a, b in spans_of_bytes(texts, BATCH_CHARS)] or [np.zeros(0)])
+            yield batch.filter(pa.array(score < threshold))
+
+    return map_arrow(docs, kernel, docs.schema)
