@@ -3,12 +3,13 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lines, neardup, quality, secrets, toxicity
+from tessera.llm import dense, lines, neardup, quality, secrets, toxicity
 from tessera.llm.graphs import components
 
 LINES = ["First line here\nshared boilerplate line\nx", "  SHARED Boilerplate Line\t\nown words of two\n\n", "shared boilerplate line\nshared boilerplate line", "É geteilte ZEILE lang\nshort", "é geteilte zeile lang", "É geteilte zeile LANG", "", "\n\n", "First line here"]
@@ -108,6 +109,60 @@ def brute_components(rows):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Pairs at a similarity of 0.80 among texts of one template, which are at 0.73 from each other."""
+    rng = random.Random(5)
+    template, n = [f"t{i}" for i in range(400)], 1500
+    fresh = lambda k: [f"u{rng.getrandbits(40)}" for _ in range(k)]
+    rows = []
+    for k in range(n):
+        pair = fresh(24)
+        rows += [(2 * k + h, " ".join(template + pair + fresh(51))) for h in range(2)]
+    some = [shingles(t) for _, t in rows[:3]]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert like(some[0], some[1]) > 0.78 and like(some[0], some[2]) < 0.74
+    rng.shuffle(rows)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i // 2 * 2 for i in range(2 * n)}
+
+
+def test_dense_pairs_are_all_pairs(spark):
+    """Random sets around few centres: every pair over the threshold in two components is among the candidates."""
+    rng = np.random.default_rng(6)
+    centres = [rng.choice(4000, 60, replace=False) for _ in range(4)]
+    sets = []
+    for i in range(260):
+        c = centres[i % 4].copy()
+        c[: rng.integers(0, 14)] = rng.choice(4000, 60, replace=False)[: rng.integers(0, 14)].sum() % 4000 if i % 9 == 0 else c[0]
+        more = rng.choice([4000 + i % 40, 5000 + i % 7, 6000 + i], rng.integers(1, 4))
+        sets.append(np.unique(np.concatenate((c[rng.random(60) < rng.choice([0.8, 0.9, 1.0])], more))).astype(np.int64))
+    component = [i if i % 5 else 0 for i in range(len(sets))]
+    nodes = spark.createDataFrame([(i, len(s), c) for i, (s, c) in enumerate(zip(sets, component, strict=True))], "id long, n long, component long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    got = {(r.a, r.b) for r in dense.dense_pairs(nodes, table).collect()}
+    want = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if component[i] != component[j] and 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                want.add((j, i))
+    assert want and want <= got
+
+
+def test_rows_that_share_a_doc_id(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(30))
+    rows = [(1, words("a")), (2, words("a")), (2, words("b")), (2, words("c")), (3, words("b")), (4, words("c")), (4, words("c")), (None, words("c")), (5, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long, kept string")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles, r.kept) for r in neardup.near_duplicates(df).collect())
+    want = [(1, 1, 26, True), (2, 1, 26, False), (2, 2, 26, True), (2, 2, 26, True), (3, 2, 26, False), (4, 2, 26, False), (4, 2, 26, False), (-1, -1, 0, True), (5, 5, 0, True), (5, 5, 0, True)]
+    assert got == sorted(want)
+    left = neardup.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted(r.row for r in left.collect()) == [0, 2, 3, 7, 8, 9]
+    plain = spark.createDataFrame(rows[:2] + rows[4:5], "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.one_of_each(plain).collect()) == [1, 3]
+
+
 def test_near_duplicates(spark, docs_of):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -207,3 +262,96 @@ def test_pairs_of_terms_mean_more_than_each(seed):
     m = toxicity.Machine.fit(known, np.array(owner), np.array(column), np.array(label), math.log(0.25 / 0.75))
     one = [m.scores(1, np.zeros(len(t), int), np.array(t))[0] for t in ([0], [1], [0, 1], [2, 3])]
     assert one[0] < 0.5 and one[1] < 0.5 and one[2] > 0.5 and one[3] < 0.5
+
+
+def test_pairs_that_tell_only_together_are_kept(spark, docs_of):
+    rng = random.Random(3)
+    texts, values = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(15)] + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        values.append(int(a == b))
+    docs, labels = labelled(spark, docs_of, texts, "toxic", values)
+    machine = toxicity.learn_machine(docs, labels)
+    one = [machine.scores(1, *toxicity.terms([t]))[0] for t in ("alpha w1 w2", "beta w1 w2", "alpha beta w1", "w1 w2 w3")]
+    assert one[0] < 0.5 and one[1] < 0.5 and one[2] > 0.5 and one[3] > 0.5
+
+
+def test_terms_are_the_distinct_words_of_each_text():
+    texts = ["Hello, hello WORLD 12 it's", "", "Éa éA x", "hello " * 2000 + "end"]
+    owner, term = toxicity.terms(texts)
+    plain = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    assert np.bincount(owner, minlength=4).tolist() == [len(p) for p in plain]
+    hashed = {w: int(toxicity.terms([w])[1][0]) for p in plain for w in p}
+    for i, p in enumerate(plain):
+        assert {hashed[w] for w in p} == set(term[owner == i].tolist())
+
+
+def test_term_counts(spark):
+    texts, labels = ["a b a", "b c", "a", "c c d"], [1, 0, 1, 0]
+    rows = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, label int")
+    got = {r.term: (r.n, r.n1) for r in toxicity.term_counts(rows).collect()}
+    name = {w: int(toxicity.terms([w])[1][0]) for w in "abcd"}
+    assert got == {name["a"]: (2, 2), name["b"]: (2, 1), name["c"]: (2, 0), name["d"]: (1, 0)}
+    n, n1 = np.array([2, 2, 0]), np.array([2, 1, 0])
+    assert toxicity.chi_square(n1, n, 2.0, 2.0).tolist() == [4.0, 0.0, 0.0]
+
+
+def plain_statistics(t):
+    logit = lambda x, n: math.log((x + 0.5) / (max(n - x, 0) + 0.5))
+    category = [unicodedata.category(c)[0] for c in t]
+    space = [c.isspace() and c not in "\x1c\x1d\x1e\x1f" for c in t]
+    letters = sum(k == "L" for k in category)
+    capitals = sum(c.isupper() and ord(c) < 0x250 for c in t)
+    marks = sum(c in ".,;:!?'\"()-" for c in t)
+    digits = sum(k == "N" for k in category)
+    words = re.findall(r"[^\s]+", t)
+    size, n = [len(w) for w in words], len(t)
+    mean = sum(size) / max(len(size), 1)
+    spread = math.sqrt(max(sum(x * x for x in size) / max(len(size), 1) - mean**2, 0))
+    plain = sum(sum(not c.isalpha() for c in w) <= (w[-1] in ".,;:!?'\"()-") for w in words)
+    lines = t.split("\n")
+    full = [x for x in lines if x]
+    count = collections.Counter(words)
+    return [
+        math.log1p(n), math.log1p(len(words)), math.log(len(lines)), logit(letters, n), logit(digits, n), logit(marks, n), logit(n - letters - digits - marks - sum(space), n), logit(capitals, letters),
+        logit(sum(space), n), math.log1p(mean), math.log1p(spread), logit(sum(x <= 3 for x in size), len(words)), logit(sum(x >= 12 for x in size), len(words)), logit(plain, len(words)),
+        logit(len(count), len(words)), logit(max(count.values(), default=0), len(words)), math.log1p(len(words) / len(lines)), logit(len(set(full)), len(full)), logit(sum(ord(c) >= 0x250 for c in t), n),
+    ]
+
+
+def test_statistics_are_the_plain_ones():
+    texts = ["The house, it stands.\nThe house (12) Über.", "", "\n\n", "日本語 テスト x", "aaa " * 3000 + "\nend\nend", "$$$ ### A1 b2-"]
+    assert np.allclose(quality.statistics(texts), [plain_statistics(t) for t in texts])
+
+
+def test_class_sums(spark):
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    y = [i % 2 for i in range(40)]
+    rows = spark.createDataFrame([(v.tolist(), k) for v, k in zip(x, y, strict=True)], "x array<double>, label int").repartition(5)
+    for k, (n, total, outer) in quality.class_sums(rows).items():
+        some = x[np.array(y) == k]
+        assert n == 20 and np.allclose(total, some.sum(0)) and np.allclose(outer, some.T @ some)
+
+
+def test_long_texts_of_secrets_and_lines(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("0123456789abcdef", k=24)) + rng.choice(["", " token=abcdefghijklmnop", " é"]) for _ in range(3000))
+    (r,) = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in r.all_spans] == more_spans(text)
+    found = [(s, e) for s, _, e in more_spans(text)]
+    out, at = [], 0
+    for s, e in found:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    clash = spark.createDataFrame([(1, text, "mine", "too", 5)], "doc_id long, text string, base_spans string, found_ string, more_ int")
+    (m,) = secrets.redact(clash).collect()
+    assert m.text == "".join([*out, text[at:]]) and (m.base_spans, m.found_, m.more_) == ("mine", "too", 5)
+    rows = [(1, "\n".join(f"line number {i}" for i in range(20000))), (2, "\n".join(f"line number {2 * i}" for i in range(20000)))]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, losing string, losing_doc string, kept_lines string")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert {i: r.text for i, r in got.items()} == dict(kept_lines(rows)) and got[2].n_dropped == 10000
+    assert (got[1].losing, got[1].losing_doc, got[1].kept_lines) == ("a", "b", "c")

@@ -67,6 +67,15 @@ def test_a_full_cache_starts_anew(tik):
         assert small.encode([x])[0].tolist() == tik.encode_ordinary(x)
 
 
+@pytest.mark.parametrize("make", [lambda: ByteBpe(BYTE), lambda: WordTokenizer(WORD)])
+def test_pieces_with_one_hash_are_told_apart(make, tik):
+    t = make()
+    t.codes = np.zeros_like(t.codes)  # so that pieces of one length have one hash
+    plain = make()
+    for texts in (["one two six", "ten red"], ["two"], ["one two six ten"], ["red"]):
+        assert split(*t.encode(texts)) == split(*plain.encode(texts))
+
+
 def test_byte_bpe_over_rows(spark, docs_of, tik):
     df = docs_of(ODD)
     out = byte_bpe.encode_documents(df)
