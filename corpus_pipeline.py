@@ -1,18 +1,23 @@
 """The corpus pipeline: toxic documents go, repeated lines go, near-duplicates go but for one, secrets are masked, and
 what is left is packed into sequences.
 
-Every stage takes all that the one before kept and, but for the last, returns the columns of ``documents``; ``n_chars``
-follows the text. Nulls and edge cases are those of the operators in ``tessera.llm``; a document that lost all of its
-lines stays, with an empty text.
+Every stage takes all that the one before kept and, but for the last, returns the columns of ``documents``, whatever
+else they are called; ``n_chars`` follows the text. A document all of whose words stand in lines that go is dropped with
+them, as other documents hold all that it said; one that was blank before stays. Nulls and edge cases are those of the
+operators in ``tessera.llm``: a null text counts as empty, rows without a doc_id take part in no comparison and stay,
+and of rows that share a doc_id each is judged by its own text. Of rows that are equal the near-duplicate stage keeps
+one. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import lines, neardup, packing, secrets, toxicity
-from tessera.llm.common import stored, table
+from tessera.llm.common import forget, stored, table
 
 
 def _with_text_of(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -22,18 +27,22 @@ def _with_text_of(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*[f"`{c}`" for c in docs.columns])
 
 
+def _blank() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = toxicity.learn_machine(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, machine).where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    return toxicity.without_toxic(docs, toxicity.learn_machine(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text_of(docs, lines.dedup_lines(docs))
+    before = f"blank-{uuid.uuid4().hex}"
+    changed = lines.dedup_lines(docs.withColumn(before, _blank()), counts=False)
+    return _with_text_of(docs, changed.where(F.col(f"`{before}`") | ~_blank()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return neardup.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written:
+            forget(before)
+        written = True
     return docs
