@@ -6,7 +6,8 @@ too. A round looks at the rare shingles, those of few components: components tha
 nodes, and a pair stays if its common rare shingles and the frequent ones of either node could add up to the threshold.
 A pair without any common rare shingle has to reach the threshold by frequent ones alone, which needs six sevenths of
 the smaller set; while there are such nodes, the next round takes them, with their frequent shingles and a higher bound
-of what counts as rare. So every pair over the threshold is found, and none is listed that the bounds rule out.
+of what counts as rare. Components are paired on the sums of their shingles before their nodes are, so that a large one
+is unfolded only where a pair may be found. So every pair over the threshold is found, and none is listed that the bounds rule out.
 
 With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
 """
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import forget, map_arrow, stored
 
@@ -49,22 +51,25 @@ def useful(lists: DataFrame, most: int) -> DataFrame:
     than ``most`` components) and the node's numbers of rare and of frequent shingles."""
     shared = lists.select("s", "component").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
     some = lists.join(shared, "s").select("s", "component", "id", "n", (F.col("k") > most).alias("often"))
-    sizes = some.groupBy("id").agg(F.count_if(~F.col("often")).alias("n_rare"), F.count_if("often").alias("n_often"))
-    return some.join(sizes, "id").where("4 * (n_rare + n_often) >= 3 * n")
+    node = Window.partitionBy("id")
+    sized = some.withColumn("n_rare", F.count_if(~F.col("often")).over(node)).withColumn("n_often", F.count_if("often").over(node))
+    return sized.where("4 * (n_rare + n_often) >= 3 * n")
 
 
 def rare_pairs(lists: DataFrame) -> DataFrame:
     """(a, b) of the nodes of ``lists`` that share a rare shingle, are in two components and may be linked."""
     rare = lists.where("not often").withColumn("total", F.col("n_rare") + F.col("n_often"))
-    sides = rare.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"))
-    x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least")]) for k in "ab")
-    met = x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a")
+    sides = rare.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max("n_often").alias("rest"))
+    x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least", "rest")]) for k in "ab")
+    met = stored(x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a"), "met")
+    sums = met.groupBy("component_a", "component_b").agg(F.count("*").alias("common"), *[F.max(f"rest_{k}").alias(f"rest_{k}") for k in "ab"], *[F.min(f"least_{k}").alias(f"least_{k}") for k in "ab"])
+    hopeful = sums.where("7 * (common + least(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b")
+    pairs = met.select("s", "component_a", "component_b").join(hopeful, ["component_a", "component_b"])
     for k in "ab":
         side = rare.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "id", "n", "n_often", "total")])
-        met = met.join(side, ["s", f"component_{k}"])
-        if k == "b":
-            met = met.where("7 * least(total_a, total_b) >= 3 * (n_a + n_b)")
-    counted = met.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
+        pairs = pairs.join(side, ["s", f"component_{k}"])
+    pairs = pairs.where("7 * least(total_a, total_b) >= 3 * (n_a + n_b)")
+    counted = pairs.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
         F.count("*").alias("common"), F.first(F.least("n_often_a", "n_often_b")).alias("rest"), F.first(F.col("n_a") + F.col("n_b")).alias("both")
     )
     return counted.where("7 * (common + rest) >= 3 * both").select("a", "b")
