@@ -130,7 +130,7 @@ LABEL = 8 + 8 + HASHES  # of a row of the second search, after its key: componen
 
 def neighbour_pairs(window: int, labelled: bool = False):
     """A kernel over sorted (row, id), where row begins with the key: pairs of near rows (PAIR), rows that have more
-    neighbours under their prefix than the window reaches (CROWD), and the first and last rows of the partition (END).
+    neighbours under their prefix than the window reaches (CROWD, their ids as bytes of one row), and the first and last rows of the partition (END).
 
     Of a run with more rows than the window reaches, CROWD names the first and the last one, as the others have pairs on
     both sides. With ``labelled`` it names all: then rows go on with a component, a size and a signature, and pairs are
@@ -185,7 +185,8 @@ def neighbour_pairs(window: int, labelled: bool = False):
                 yield batch_of(PAIR, pairs[0], pairs[1])
             crowd = np.unique(ids[crowded(rows)])
             if len(crowd):
-                yield batch_of(CROWD, crowd, crowd)
+                none = np.zeros(1, np.int64)
+                yield batch_of(CROWD, none, none, crowd.view(np.uint8)[None, :])
             rows, ids = rows[-reach:], ids[-reach:]
         if len(ids):
             yield batch_of(END, ids, ids, rows)
@@ -200,9 +201,15 @@ def near_pairs(rows: DataFrame, window: int, labelled: bool = False) -> tuple[Da
     # the ends of the partitions, a window of rows of each, stream through one task
     ends = found.where(F.col("kind") == END).select("row", F.col("a").alias("id")).distinct().repartition(1).sortWithinPartitions("row", "id")
     across = map_arrow(ends, neighbour_pairs(window, labelled), PAIRS)
-    both = stored(found.where(F.col("kind") != END).drop("row").union(across.where(F.col("kind") != END).drop("row")), "near-all")
+    both = stored(found.where(F.col("kind") != END).union(across.where(F.col("kind") != END)), "near-all")
     forget(found)
-    return both.where(F.col("kind") == PAIR).select("a", "b").distinct(), both.where(F.col("kind") == CROWD).select(F.col("a").alias("id")).distinct()
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column("row").to_pylist()), np.int64)))], ["id"])
+
+    crowd = map_arrow(both.where(F.col("kind") == CROWD).select("row"), unfold, "id long").distinct()
+    return both.where(F.col("kind") == PAIR).select("a", "b").distinct(), crowd
 
 
 def screened(pairs: DataFrame, nodes: DataFrame, least: float = SCREEN) -> DataFrame:
