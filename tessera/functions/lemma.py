@@ -8,25 +8,136 @@ from pyspark.sql import functions as F
 from tessera.types import Language, Locale
 
 #: British and American spellings, by the British one.
-SPELLINGS = dict(
-    pair.split("/")
-    for pair in """
-    aluminium/aluminum analyse/analyze analysed/analyzed analyses/analyzes analysing/analyzing apologise/apologize
-    apologised/apologized artefact/artifact artefacts/artifacts behaviour/behavior behavioural/behavioral
-    behaviours/behaviors cancelled/canceled catalogue/catalog catalogues/catalogs centre/center centred/centered
-    centres/centers colour/color coloured/colored colours/colors cosy/cozy defence/defense defences/defenses
-    enrol/enroll favourite/favorite favourites/favorites fibre/fiber fibres/fibers fuelled/fueled fulfil/fulfill
-    grey/gray honour/honor honoured/honored honours/honors jewellery/jewelry kerb/curb labelled/labeled labour/labor
-    litre/liter litres/liters marvellous/marvelous metre/meter metres/meters modelling/modeling mould/mold moulds/molds
-    offence/offense offences/offenses organisation/organization organisations/organizations organise/organize
-    organised/organized plough/plow programme/program programmes/programs pyjamas/pajamas realise/realize
-    realised/realized recognise/recognize recognised/recognized skilful/skillful smoulder/smolder speciality/specialty
-    storey/story storeys/stories travelled/traveled travelling/traveling tyre/tire tyres/tires wilful/willful
-    """.split()
-)
+SPELLINGS = {
+    "aluminium": "aluminum",
+    "analyse": "analyze",
+    "analysed": "analyzed",
+    "analyses": "analyzes",
+    "analysing": "analyzing",
+    "apologise": "apologize",
+    "apologised": "apologized",
+    "artefact": "artifact",
+    "artefacts": "artifacts",
+    "behaviour": "behavior",
+    "behavioural": "behavioral",
+    "behaviours": "behaviors",
+    "cancelled": "canceled",
+    "catalogue": "catalog",
+    "catalogues": "catalogs",
+    "centre": "center",
+    "centred": "centered",
+    "centres": "centers",
+    "colour": "color",
+    "coloured": "colored",
+    "colours": "colors",
+    "cosy": "cozy",
+    "defence": "defense",
+    "defences": "defenses",
+    "enrol": "enroll",
+    "favourite": "favorite",
+    "favourites": "favorites",
+    "fibre": "fiber",
+    "fibres": "fibers",
+    "fuelled": "fueled",
+    "fulfil": "fulfill",
+    "grey": "gray",
+    "honour": "honor",
+    "honoured": "honored",
+    "honours": "honors",
+    "jewellery": "jewelry",
+    "kerb": "curb",
+    "labelled": "labeled",
+    "labour": "labor",
+    "litre": "liter",
+    "litres": "liters",
+    "marvellous": "marvelous",
+    "metre": "meter",
+    "metres": "meters",
+    "modelling": "modeling",
+    "mould": "mold",
+    "moulds": "molds",
+    "offence": "offense",
+    "offences": "offenses",
+    "organisation": "organization",
+    "organisations": "organizations",
+    "organise": "organize",
+    "organised": "organized",
+    "plough": "plow",
+    "programme": "program",
+    "programmes": "programs",
+    "pyjamas": "pajamas",
+    "realise": "realize",
+    "realised": "realized",
+    "recognise": "recognize",
+    "recognised": "recognized",
+    "skilful": "skillful",
+    "smoulder": "smolder",
+    "speciality": "specialty",
+    "storey": "story",
+    "storeys": "stories",
+    "travelled": "traveled",
+    "travelling": "traveling",
+    "tyre": "tire",
+    "tyres": "tires",
+    "wilful": "willful",
+}
 
 #: Some characters whose simplified form is common; a full table (traditional to simplified) is a parameter.
-SIMPLIFIED = dict(zip("認識國學習語書說話時間東車長門開關電腦網龍愛見覺讀寫聽買賣點線會員機動體麼個們來對過還進這裡後從為發問題歲", "认识国学习语书说话时间东车长门开关电脑网龙爱见觉读写听买卖点线会员机动体么个们来对过还进这里后从为发问题岁", strict=True))
+SIMPLIFIED = {
+    "認": "认",
+    "識": "识",
+    "國": "国",
+    "學": "学",
+    "習": "习",
+    "語": "语",
+    "書": "书",
+    "說": "说",
+    "話": "话",
+    "時": "时",
+    "間": "间",
+    "東": "东",
+    "車": "车",
+    "長": "长",
+    "門": "门",
+    "開": "开",
+    "關": "关",
+    "電": "电",
+    "腦": "脑",
+    "網": "网",
+    "龍": "龙",
+    "愛": "爱",
+    "見": "见",
+    "覺": "觉",
+    "讀": "读",
+    "寫": "写",
+    "聽": "听",
+    "買": "买",
+    "賣": "卖",
+    "點": "点",
+    "線": "线",
+    "會": "会",
+    "員": "员",
+    "機": "机",
+    "動": "动",
+    "體": "体",
+    "麼": "么",
+    "個": "个",
+    "們": "们",
+    "來": "来",
+    "對": "对",
+    "過": "过",
+    "還": "还",
+    "進": "进",
+    "這": "这",
+    "裡": "里",
+    "後": "后",
+    "從": "从",
+    "為": "为",
+    "發": "发",
+    "問": "问",
+    "題": "题",
+    "歲": "岁",
+}
 
 
 def read_zh_table(text: str) -> dict[str, str]:

@@ -47,25 +47,49 @@ def malformed(text: Column) -> Column:
     return ~F.is_valid_utf8(text)
 
 
+#: Cuts that a step of the fold copies at most.
+CUTS_AT_ONCE = 256
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "(?<=\n)(?=[^\t\n\x0b\f\r ])", -1)
+
+
+def _cuts(lines: Column, target: int | Column) -> Column:
+    """(line, at): the lines that open a new piece, with their byte offsets, by one fold over the sizes of the lines."""
+    least = F.greatest(F.lit(target) if isinstance(target, int) else target, F.lit(1))
+    none = F.array().cast("array<struct<line:int,at:int>>")
+    start = F.struct(F.array().cast("array<array<struct<line:int,at:int>>>").alias("done"), none.alias("part"), *[F.lit(0).alias(c) for c in ("line", "at", "open")])
+
+    def add(acc: Column, size: Column) -> Column:
+        cut, full = acc["open"] >= least, F.size(acc["part"]) >= CUTS_AT_ONCE
+        new = F.array(F.struct(acc["line"].alias("line"), acc["at"].alias("at")))
+        return F.struct(
+            F.when(cut & full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"]).alias("done"),
+            F.when(cut & full, new).when(cut, F.concat(acc["part"], new)).otherwise(acc["part"]).alias("part"),
+            (acc["line"] + 1).alias("line"),
+            (acc["at"] + size).alias("at"),
+            (F.when(cut, 0).otherwise(acc["open"]) + size).alias("open"),
+        )
+
+    return F.aggregate(F.transform(lines, F.octet_length), start, add, lambda acc: F.concat(F.flatten(acc["done"]), acc["part"]))
+
+
 def safe_chunks(text: Column, target: int | Column) -> Column:
     """The pieces of a text, cut after line feeds that no white space follows; each but the last has ``target`` bytes."""
-    least = F.greatest(F.lit(target) if isinstance(target, int) else target, F.lit(1))
-    lines = F.split(text, "(?<=\n)(?=[^\t\n\x0b\f\r ])", -1)
-    empty = F.array().cast("array<string>")
+    first = F.concat(F.array(F.lit(0)), F.transform(_cuts(_lines(text), target), lambda c: c["line"]))
+    held = F.array(F.struct(_lines(text).alias("lines"), first.alias("first")))
 
-    def add(acc: Column, line: Column) -> Column:
-        """The open piece is the last of the array."""
-        last = F.try_element_at(acc, F.lit(-1))
-        full = F.octet_length(last) >= least
-        return F.when(F.size(acc) == 0, F.array(line)).when(full, F.concat(acc, F.array(line))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, line))))
+    def pieces(h: Column) -> Column:
+        after = F.concat(F.slice(h["first"], 2, F.size(h["first"])), F.array(F.size(h["lines"])))
+        return F.zip_with(h["first"], after, lambda a, b: F.array_join(F.transform(F.sequence(a, b - 1), lambda i: F.get(h["lines"], i)), ""))
 
-    return F.aggregate(lines, empty, add)
+    return F.when(text.isNotNull(), F.get(F.transform(held, pieces), 0))
 
 
 def safe_chunk_offsets(text: Column, target: int | Column) -> Column:
     """Byte offsets of the cuts of ``safe_chunks``."""
-    sizes = F.transform(safe_chunks(text, target), F.octet_length)
-    return F.filter(F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)), lambda x: x > 0)
+    return F.transform(_cuts(_lines(text), target), lambda c: c["at"])
 
 
 def pos_pattern_valid(pattern: Column) -> Column:

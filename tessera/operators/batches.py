@@ -30,6 +30,7 @@ class TokenTable:
     def __init__(self) -> None:
         self.number: dict[Token, int] = {}
         self.columns: dict[str, pa.Array] = {}
+        self.made: dict[str, list[str]] = {"surface": [], "line": []}
         self.width = np.zeros(0, np.int64)
 
     def numbers(self, tokens: list[Token]) -> list[int]:
@@ -40,6 +41,14 @@ class TokenTable:
         self._grow()
         return self.columns[name]
 
+    def strings(self, kind: str) -> list[str]:
+        """Of every token its surface, or its line: surface, pos, lemma and readings between tabs."""
+        made = self.made[kind]
+        if len(made) < len(self.number):
+            names = ("surface",) if kind == "surface" else self.FIELDS[:5]
+            made += ["\t".join([_text(getattr(t, f)) for f in names]) for t in list(self.number)[len(made) :]]
+        return made
+
     def widths(self) -> np.ndarray:
         self._grow()
         return self.width
@@ -115,8 +124,8 @@ def lists(offsets: np.ndarray, values: pa.Array, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(null) if null.any() else None)
 
 
-def segmented(batch: pa.RecordBatch, of: BatchSegmenter, opts: TokenizeOptions, shape: str, text: str, constraints: str | None, keep_errors: bool) -> tuple[pa.Array, pa.Array]:
-    """(result, error) of a batch. ``shape``: morphemes, spans or surfaces. A null text gives a null result."""
+def numbered(batch: pa.RecordBatch, of: BatchSegmenter, opts: TokenizeOptions, text: str, constraints: str | None, keep_errors: bool) -> tuple[list[list[int]], np.ndarray, pa.Array]:
+    """The tokens of each text by number, which results are null (of null texts and of faults), and the faults."""
     of.renew()
     numbers: list[list[int]] = []
     errors: list[str | None] = []
@@ -134,23 +143,35 @@ def segmented(batch: pa.RecordBatch, of: BatchSegmenter, opts: TokenizeOptions,
                 error = str(e)
         numbers.append(got)
         errors.append(error)
-    null = np.array([t is None or e is not None for t, e in zip(texts, errors, strict=True)], bool)
+    return numbers, np.array([t is None or e is not None for t, e in zip(texts, errors, strict=True)], bool), pa.array(errors, pa.string())
+
+
+def joined(batch: pa.RecordBatch, of: BatchSegmenter, opts: TokenizeOptions, kind: str, between: str, text: str, keep_errors: bool) -> tuple[pa.Array, pa.Array]:
+    """(result, error) of a batch: the tokens' surfaces or lines in one string."""
+    numbers, null, errors = numbered(batch, of, opts, text, None, keep_errors)
+    string = of.table.strings(kind).__getitem__
+    return pa.array([None if no else between.join(map(string, x)) for x, no in zip(numbers, null.tolist(), strict=True)], pa.string()), errors
+
+
+def segmented(batch: pa.RecordBatch, of: BatchSegmenter, opts: TokenizeOptions, fields: tuple[str, ...] | None, text: str, constraints: str | None, keep_errors: bool) -> tuple[pa.Array, pa.Array]:
+    """(result, error) of a batch. A token is a struct of ``fields``, or its surface alone. A null text gives a null result."""
+    numbers, null, errors = numbered(batch, of, opts, text, constraints, keep_errors)
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in numbers], dtype=np.int64)))
     at = np.fromiter(chain.from_iterable(numbers), np.int64, int(offsets[-1]))
-    take = lambda name: of.table.column(name).take(pa.array(at)) if len(at) else of_type(name)
-    if shape == "surfaces":
-        return lists(offsets, take("surface"), null), pa.array(errors, pa.string())
-    width = of.table.widths()[at] if len(at) else np.zeros(0, np.int64)
-    end = np.cumsum(width)
-    first = np.concatenate(([0], end))[offsets[:-1]]
-    base = np.repeat(first, np.diff(offsets))
-    places = {"start": pa.array((end - width - base).astype(np.int32)), "end": pa.array((end - base).astype(np.int32))}
-    if shape == "spans":
-        fields = {"surface": take("surface"), **places}
-    else:
-        locale = pa.array([of.kernel.d.language.locale.name]).take(pa.array(np.zeros(len(at), np.int64)))
-        fields = {n: take(n) for n in TokenTable.FIELDS[:7]} | places | {"locale": locale, "char_class": take("char_class"), "is_unknown": take("is_unknown")}
-    return lists(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)), null), pa.array(errors, pa.string())
+    index = pa.array(at)
+    take = lambda name: of.table.column(name).take(index) if len(at) else of_type(name)
+    if fields is None:
+        return lists(offsets, take("surface"), null), errors
+    made = {}
+    if "start" in fields or "end" in fields:
+        width = of.table.widths()[at] if len(at) else np.zeros(0, np.int64)
+        end = np.cumsum(width)
+        first = np.concatenate(([0], end))[offsets[:-1]]
+        base = np.repeat(first, np.diff(offsets))
+        made = {"start": pa.array((end - width - base).astype(np.int32)), "end": pa.array((end - base).astype(np.int32))}
+    if "locale" in fields:
+        made["locale"] = pa.array([of.kernel.d.language.locale.name]).take(pa.array(np.zeros(len(at), np.int64)))
+    return lists(offsets, pa.StructArray.from_arrays([made[f] if f in made else take(f) for f in fields], list(fields)), null), errors
 
 
 def of_type(name: str) -> pa.Array:

@@ -79,15 +79,19 @@ class CompiledDictionary:
         of = self.classes.of
         return all(len({of(c) for c in s}) == 1 for s in self.groups)
 
-    def resolve(self, cls: CharClass, surface: str) -> tuple[str, int, int, int]:
-        """(pos, cost, left id, right id) of an unknown candidate: the first pattern, else the first rule, else the fallback."""
+    def resolve(self, cls: CharClass, text: str, start: int = 0, end: int | None = None) -> tuple[str, int, int, int]:
+        """(pos, cost, left id, right id) of an unknown candidate: the first pattern, else the first rule, else the fallback.
+
+        The candidate ``text[start:end]`` lies in one run, so that all its characters are of the class ``cls``.
+        """
+        end = len(text) if end is None else end
         for p in self.patterns:
             if (
-                surface.startswith(p.key)
+                text.startswith(p.key, start, end)
                 if p.kind is PatternKind.PREFIX
-                else surface.endswith(p.key)
+                else text.endswith(p.key, start, end)
                 if p.kind is PatternKind.SUFFIX
-                else all(self.classes.of(c) is p.key for c in surface)
+                else p.key is cls
             ):
                 return p.pos, p.cost, p.left_id, p.right_id
         for r in self.rules:

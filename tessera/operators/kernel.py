@@ -74,13 +74,20 @@ def compose(text: str) -> str:
     return text if first_malformed(text) is not None else unicodedata.normalize("NFC", text)
 
 
+def rune_starts(text: str, at: list[int]) -> set[int]:
+    """The byte offsets at which a character may start, by the top bits of its first byte, and the end of the text."""
+    if first_malformed(text) is None:
+        return set(at)
+    return {b for b, c in zip(at, text, strict=False) if not "\udc80" <= c <= "\udcbf"} | {at[-1]}
+
+
 def scan_text(text: str, opts: TokenizeOptions, cons: Constraints = NO_CONSTRAINTS) -> str:
     """The text to analyse, after the checks that come before: well-formedness, constraints, composition."""
     if opts.strict_utf8 and (bad := first_malformed(text)) is not None:
         raise MalformedInputError(byte_offsets(text)[bad])
     if cons.active:
         at = byte_offsets(text)
-        validate(cons, set(at), at[-1])
+        validate(cons, rune_starts(text, at), at[-1])
     if opts.normalize_nfc and (composed := compose(text)) != text:
         if cons.active:
             raise ConstraintError(ConstraintReason.NORMALIZATION_RESCALED, -1, -1, -1)
@@ -119,7 +126,7 @@ class Segmenter:
         return out
 
     def unknown(self, text: str, start: int, end: int, cls: CharClass) -> Node:
-        pos, cost, left, right = self.d.resolve(cls, text[start:end])
+        pos, cost, left, right = self.d.resolve(cls, text, start, end)
         return Node(start, end, -1, cls, pos, left, right, cost)
 
     def run_ends(self, classes: list[CharClass]) -> list[int]:

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.cluster import ship
 from tessera.functions.charclass import default_ranges, overlay
 from tessera.functions.text import classify_locale
-from tessera.operators.batches import BatchSegmenter, decoded, nbest_rows, segmented, segmenter_of, slices
+from tessera.operators.batches import BatchSegmenter, decoded, joined, nbest_rows, segmented, segmenter_of, slices
 from tessera.operators.compiled import CompiledDictionary
 from tessera.operators.kernel import Segmenter, Token, scan_text
 from tessera.sources import lexicon as lx
@@ -35,6 +35,22 @@ BATCH_ROWS = 500
 SNAPSHOT_VERSION = 1
 
 
+#: A scan of few files and of no more bytes than this for each core is dealt over the cores.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, in as many partitions as there are cores where it is small and comes from fewer files than that.
+
+    A small file may be one row group, and so one task. Large inputs have splits enough and are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or not 0 < len(df.inputFiles()) < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
+
+
 class Analyzer:
     """An immutable dictionary in a session. Changes give new analysers; ``close`` releases the broadcast."""
 
@@ -155,40 +171,45 @@ class Analyzer:
                     result, error = work(batch, segmenter_of(shared.value, opts), opts, keep_errors)
                     yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), result, *([error] * keep_errors)], schema.fieldNames())
 
-        source = df if text not in new else df.withColumn("text_", F.col(text))
-        return source.mapInArrow(kernel, schema)
+        return spread(df).mapInArrow(kernel, schema)
+
+    def _segmented(self, df: DataFrame, fields: T.StructType | None, text: str, out: str, opts: TokenizeOptions | None, on_error: str, constraints: str | None = None) -> DataFrame:
+        kind = T.ArrayType(T.StringType() if fields is None else fields)
+        if text == out:
+            raise ValueError("the result needs a column of its own")
+        names = None if fields is None else tuple(fields.names)
+        return self._map(df, text, out, kind, lambda b, of, o, keep: segmented(b, of, o, names, text, constraints, keep), opts or TokenizeOptions(), on_error)
 
-    def _segmented(self, df: DataFrame, shape: str, text: str, out: str, opts: TokenizeOptions | None, on_error: str, constraints: str | None = None) -> DataFrame:
-        kind = T.ArrayType({"morphemes": MORPHEME, "spans": SPAN, "surfaces": T.StringType()}[shape])
+    def _joined(self, df: DataFrame, kind: str, between: str, text: str, out: str, opts: TokenizeOptions | None) -> DataFrame:
         if text == out:
             raise ValueError("the result needs a column of its own")
-        return self._map(df, text, out, kind, lambda b, of, o, keep: segmented(b, of, o, shape, text, constraints, keep), opts or TokenizeOptions(), on_error)
+        return self._map(df, text, out, T.StringType(), lambda b, of, o, keep: joined(b, of, o, kind, between, text, keep), opts or TokenizeOptions(), "raise")
 
     def tokenize(self, df: DataFrame, text: str = "text", out: str = "morphemes", opts: TokenizeOptions | None = None, on_error: str = "raise") -> DataFrame:
         """Adds the morphemes of a text column (string or binary). A null text gives null."""
-        return self._segmented(df, "morphemes", text, out, opts, on_error)
+        return self._segmented(df, MORPHEME, text, out, opts, on_error)
 
-    def tokens(self, df: DataFrame, text: str = "text", opts: TokenizeOptions | None = None) -> DataFrame:
-        """One row per morpheme: the other columns, ``seq`` from 0 and the morpheme's fields."""
-        rows = self._segmented(df, "morphemes", text, "morphemes_", opts, "raise")
-        keep = [c for c in df.columns if c != text and c not in ("seq", *MORPHEME.names)]
+    def tokens(self, df: DataFrame, text: str = "text", opts: TokenizeOptions | None = None, fields: Iterable[str] | None = None) -> DataFrame:
+        """One row per morpheme: the other columns, ``seq`` from 0 and the morpheme's fields, or those asked for alone."""
+        kind = MORPHEME if fields is None else T.StructType([MORPHEME[f] for f in fields])
+        rows = self._segmented(df, kind, text, "morphemes_", opts, "raise")
+        keep = [c for c in df.columns if c != text and c not in ("seq", *kind.names)]
         return rows.select(*[f"`{c}`" for c in keep], F.posexplode("morphemes_").alias("seq", "m")).select(*[f"`{c}`" for c in keep], "seq", "m.*")
 
     def wakachi(self, df: DataFrame, text: str = "text", out: str = "surfaces", opts: TokenizeOptions | None = None, on_error: str = "raise") -> DataFrame:
-        return self._segmented(df, "surfaces", text, out, opts, on_error)
+        return self._segmented(df, None, text, out, opts, on_error)
 
     def spans(self, df: DataFrame, text: str = "text", out: str = "spans", opts: TokenizeOptions | None = None, on_error: str = "raise") -> DataFrame:
         """Adds (surface, start, end), contiguous and total over the text."""
-        return self._segmented(df, "spans", text, out, opts, on_error)
+        return self._segmented(df, SPAN, text, out, opts, on_error)
 
     def wakati(self, df: DataFrame, text: str = "text", out: str = "wakati", opts: TokenizeOptions | None = None) -> DataFrame:
         """Adds the surfaces joined by spaces."""
-        return self.wakachi(df, text, "surfaces_", opts).withColumn(out, F.array_join("surfaces_", " ")).drop("surfaces_")
+        return self._joined(df, "surface", " ", text, out, opts)
 
     def parse(self, df: DataFrame, text: str = "text", out: str = "parse", opts: TokenizeOptions | None = None) -> DataFrame:
         """Adds one line per morpheme: surface, pos, lemma and readings between tabs."""
-        line = lambda m: F.concat_ws("\t", *[m[f] for f in ("surface", "pos", "lemma", "reading", "reading_jyutping")])
-        return self.tokenize(df, text, "morphemes_", opts).withColumn(out, F.array_join(F.transform("morphemes_", line), "\n")).drop("morphemes_")
+        return self._joined(df, "line", "\n", text, out, opts)
 
     def nbest(self, df: DataFrame, k: int, text: str = "text", out: str = "paths", opts: TokenizeOptions | None = None, constraints: str | None = None, on_error: str = "raise") -> DataFrame:
         """Adds the k cheapest paths (rank, cost, morphemes), under the constraint column if given."""
@@ -199,8 +220,8 @@ class Analyzer:
     def tokenize_constrained(self, df: DataFrame, constraints: str | Constraints, text: str = "text", out: str = "morphemes", opts: TokenizeOptions | None = None, on_error: str = "raise") -> DataFrame:
         """As ``tokenize`` in the cheapest-path mode, under a constraint column (type CONSTRAINTS) or one set for all."""
         if isinstance(constraints, str):
-            return self._segmented(df, "morphemes", text, out, opts, on_error, constraints)
-        return self._segmented(df.withColumn("constraints_", constraint_literal(constraints)), "morphemes", text, out, opts, on_error, "constraints_").drop("constraints_")
+            return self._segmented(df, MORPHEME, text, out, opts, on_error, constraints)
+        return self._segmented(df.withColumn("constraints_", constraint_literal(constraints)), MORPHEME, text, out, opts, on_error, "constraints_").drop("constraints_")
 
     def classify_locale(self, text: Column) -> Column:
         return classify_locale(text, self._open().language)

@@ -29,7 +29,16 @@ def register(analyzer: Analyzer, prefix: str = "", opts: TokenizeOptions | None
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def wakachi(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [m["surface"] for m in rows(t)])
+        of = segmenter_of(shared.value, opts)
+
+        def surfaces(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            numbers = of.numbers(scan_text(text, opts), opts)
+            return [of.table.strings("surface")[i] for i in numbers]
+
+        of.renew()
+        return texts.map(surfaces)
 
     @F.pandas_udf(T.ArrayType(PATH))
     def nbest(texts: pd.Series, ks: pd.Series) -> pd.Series:

@@ -240,13 +240,13 @@ def spans_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pos_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analyzer(spark, sf_dir, Mode.LONGEST_MATCH).tokens(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = analyzer(spark, sf_dir, Mode.LONGEST_MATCH).tokens(documents(spark, sf_dir).select("text"), fields=("pos", "is_unknown"))
     return rows.groupBy("pos", "is_unknown").agg(F.count("*").alias("n"))
 
 
 def unknown_rate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of unknown morphemes that are letters, by language of the document; the flagship."""
-    rows = analyzer(spark, sf_dir).tokens(documents(spark, sf_dir).select("lang", "text")).where("char_class = 'ASCII_LETTER'")
+    rows = analyzer(spark, sf_dir).tokens(documents(spark, sf_dir).select("lang", "text"), fields=("char_class", "is_unknown")).where("char_class = 'ASCII_LETTER'")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("is_unknown").alias("n_unknown"))
 
 

@@ -5,6 +5,7 @@ All of them are small but for the matrix; each reads the whole file as lines of
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.charclass import BY_NAME, LIMIT, Range, overlay
 from tessera.sources.csv_format import decimal, join_pos, records, short, split_fields, triple
-from tessera.types import DEFAULT_EDGE, SHORT_MAX, CharClass, LoadError, PatternKind
+from tessera.types import DEFAULT_EDGE, SHORT_MAX, SHORT_MIN, CharClass, LoadError, PatternKind
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,10 @@ def matrix_cells(lines: DataFrame) -> DataFrame:
     return cells.groupBy("left", "right").agg(F.max_by("cost", "line_no").alias("cost"))
 
 
+#: Cells of plain numbers, which are read as one array; anything else is read line by line.
+_PLAIN_CELLS = re.compile(r"(?:[ \t]*[0-9]{1,9}[ \t]+[0-9]{1,9}[ \t]+-?[0-9]{1,9}[ \t]*\r?(?:\n|\Z)|[ \t]*\r?\n)*+")
+
+
 def matrix(text: str) -> Matrix:
     """A matrix file: the two sizes, then cells; what it doesn't state costs the default."""
     head, _, body = text.removeprefix("﻿").partition("\n")
@@ -146,6 +151,13 @@ def matrix(text: str) -> Matrix:
         raise LoadError("invalid format")
     costs = np.full(sizes, DEFAULT_EDGE, np.int16)
     seen = np.zeros(sizes, bool)
+    if _PLAIN_CELLS.fullmatch(body):
+        left, right, cost = np.fromstring(body, np.int64, sep=" ").reshape(-1, 3).T
+        if len(left) and (left.max() >= sizes[0] or right.max() >= sizes[1]):
+            raise LoadError("invalid format")
+        costs[left, right] = np.clip(cost, SHORT_MIN, SHORT_MAX)  # of equal cells the last one stays
+        seen[left, right] = True
+        return Matrix(costs, int(seen.sum()))
     for line in body.split("\n"):
         words = line.removesuffix("\r").split()
         if not words:

@@ -14,6 +14,9 @@ NONE = "*"
 SHORT_MIN, SHORT_MAX = -(1 << 15), (1 << 15) - 1
 
 
+# The members of the enumerations below, their numbers, and the messages of the faults.
+
+
 class Language(enum.IntEnum):
     JAPANESE = 0
     CHINESE_CN = 1

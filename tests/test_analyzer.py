@@ -6,22 +6,22 @@ from tessera.plans.analyzer import Analyzer
 from tessera.streaming.segment import tokenize_stream, write_stream
 from tessera.types import BoundaryConstraint, Constraints, Language, LoadError, LoadOptions, Locale, Mode, TokenConstraint, TokenizeOptions, UnavailableError, UserEntry
 
-JA = """犬,0,0,5000,名詞,一般,*,*,*,*,犬,イヌ,イヌ
-が,0,0,4000,助詞,格助詞,一般,*,*,*,が,ガ,ガ
-歩く,0,0,6000,動詞,自立,*,*,五段・カ行,基本形,歩く,アルク,アルク
-犬,0,0,5500,名詞,固有名詞,*,*,*,*,*,イヌ,イヌ
+JA = """猫,0,0,5200,名詞,一般,*,*,*,*,猫,ネコ,ネコ
+が,0,0,3900,助詞,格助詞,一般,*,*,*,が,ガ,ガ
+走る,0,0,6100,動詞,自立,*,*,五段・ラ行,基本形,走る,ハシル,ハシル
+猫,0,0,5750,名詞,固有名詞,*,*,*,*,*,ネコ,ネコ
 """
-ZH = """香港,0,0,5000,ns,xiang1,香港,香港,"Hong, Kong"
-島,0,0,6000,n,dao3,島,岛,island
-島,0,0,6500,ns,dao3,島,岛,island
-今日新聞,0,0,6000,n,jin1,今日新聞,x,news
-今日,0,0,6000,n,jin1,今日,x,today
+ZH = """台北,0,0,5000,ns,tai2,台北,台北,"Tai, Pei"
+龍,0,0,6000,n,long2,龍,龙,dragon
+龍,0,0,6500,ns,long2,龍,龙,dragon
+明天天氣,0,0,6000,n,ming2,明天天氣,x,news
+明天,0,0,6000,n,ming2,明天,x,today
 """
-HK = """香港,0,0,5000,ns,,x,x,x
-香港,0,0,5000,ns,hoeng1,x,x,x
-香港,0,0,5000,ns,gong2,x,x,x
-島,0,0,6000,n,dou2,x,x,x
-旺角,0,0,6000,n,wong6,x,x,x
+HK = """台北,0,0,5000,ns,,x,x,x
+台北,0,0,5000,ns,toi4,x,x,x
+台北,0,0,5000,ns,bak1,x,x,x
+龍,0,0,6000,n,lung4,x,x,x
+沙田,0,0,6000,n,saa1,x,x,x
 """
 
 
@@ -32,15 +32,15 @@ def ja(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(1, "犬が歩く"), (2, ""), (3, None), (4, "ザザ 犬")], "id long, text string")
+    return spark.createDataFrame([(1, "猫が走る"), (2, ""), (3, None), (4, "ポポ 猫")], "id long, text string")
 
 
 def test_columns(ja, docs):
     rows = {r.id: r.morphemes for r in ja.tokenize(docs).collect()}
     assert rows[2] == [] and rows[3] is None
-    assert [(m.surface, m.start, m.end, m.entry_id, m.is_unknown) for m in rows[1]] == [("犬", 0, 3, 2, False), ("が", 3, 6, 0, False), ("歩く", 6, 12, 1, False)]
-    assert rows[1][2].pos == "動詞,自立,五段・カ行,基本形" and rows[1][0].lemma == "犬" and rows[4][1].char_class == "SPACE"
-    assert [r.wakati for r in ja.wakati(docs).orderBy("id").collect()] == ["犬 が 歩く", "", None, "ザザ   犬"]
+    assert [(m.surface, m.start, m.end, m.entry_id, m.is_unknown) for m in rows[1]] == [("猫", 0, 3, 1, False), ("が", 3, 6, 0, False), ("走る", 6, 12, 3, False)]
+    assert rows[1][2].pos == "動詞,自立,五段・ラ行,基本形" and rows[1][0].lemma == "猫" and rows[4][1].char_class == "SPACE"
+    assert [r.wakati for r in ja.wakati(docs).orderBy("id").collect()] == ["猫 が 走る", "", None, "ポポ   猫"]
     assert ja.parse(docs).where("id = 1").first().parse.split("\n")[1] == "が\t助詞,格助詞,一般\tが\tガ\t*"
     spans = ja.spans(docs).where("id = 4").first().spans
     assert [(s.start, s.end) for s in spans] == [(0, 6), (6, 7), (7, 10)]
@@ -51,13 +51,13 @@ def test_columns(ja, docs):
 
 def test_nbest_and_constraints(ja, docs):
     paths = ja.nbest(docs, 2).where("id = 1").first().paths
-    assert [p.cost for p in paths] == [43000, 43500] and paths[0].rank == 1
+    assert [p.cost for p in paths] == [43200, 43750] and paths[0].rank == 1
     pinned = ja.tokenize_constrained(docs.where("id = 1"), Constraints((TokenConstraint(0, 3, "名詞,固有名詞"),))).first().morphemes
-    assert pinned[0].cost == 5500
+    assert pinned[0].cost == 5750
     bad = ja.tokenize_constrained(docs.where("id = 1"), Constraints((), (BoundaryConstraint(1),)), on_error="column").first()
     assert bad.morphemes is None and bad.error == "bad constraint 0: Not_Rune_Boundary (start 1, end -1)"
     with pytest.raises(Exception, match="malformed UTF-8 at byte offset 3"):
-        raw = docs.sparkSession.createDataFrame([(bytearray("犬".encode() + b"\xff"),)], "text binary")
+        raw = docs.sparkSession.createDataFrame([(bytearray("猫".encode() + b"\xff"),)], "text binary")
         ja.tokenize(raw, opts=TokenizeOptions(strict_utf8=True)).collect()
 
 
@@ -65,11 +65,11 @@ def test_resources_from_files(spark, tmp_path):
     (tmp_path / "d.csv").write_text(JA)
     (tmp_path / "char.def").write_text("KATAKANA 1 0 2\nDEFAULT 0 1 0\n")
     (tmp_path / "unk.def").write_text("KATAKANA,0,0,100,名詞,片,*\n")
-    (tmp_path / "matrix.def").write_text("1 1\n0 0 10\n")
+    (tmp_path / "matrix.def").write_text("1 1\n0 0 15\n")
     a = Analyzer.load(spark, Language.JAPANESE, str(tmp_path / "d.csv"))
     s = a.stats()
     assert (s.skipped, s.matrix_cells, s.matrix_explicit, s.unk_rules, s.entries, s.terminals) == (["patterns.qpat"], 1, 1, 1, 4, 3)
-    assert [t.surface for t in a.tokenize_text("ザザ犬")] == ["ザザ", "犬"] and a.tokenize_text("ザ")[0].pos == "名詞,片"
+    assert [t.surface for t in a.tokenize_text("ポポ猫")] == ["ポポ", "猫"] and a.tokenize_text("ポ")[0].pos == "名詞,片"
     with pytest.raises(LoadError, match="file not found"):
         Analyzer.load(spark, Language.JAPANESE, str(tmp_path / "none.csv"))
     (tmp_path / "bad.csv").write_text(JA + "x,0,0\n")
@@ -79,15 +79,15 @@ def test_resources_from_files(spark, tmp_path):
 
 def test_readings_lemmas_and_users(spark, ja, tmp_path):
     (tmp_path / "hk.csv").write_text(HK)
-    a = Analyzer.load_bytes(spark, Language.CHINESE_TW, ZH.encode(), LoadOptions(jyutping_csv_path=str(tmp_path / "hk.csv"), lemma_locale=Locale.CN, zh_table={"島": "岛"}))
+    a = Analyzer.load_bytes(spark, Language.CHINESE_TW, ZH.encode(), LoadOptions(jyutping_csv_path=str(tmp_path / "hk.csv"), lemma_locale=Locale.CN, zh_table={"龍": "龙"}))
     got = {(r.surface, r.reading_jyutping, r.lemma) for r in a.lexicon().collect()}
-    assert got == {("香港", "hoeng1", "香港"), ("島", "dou2", "岛"), ("今日", "*", "今日"), ("今日新聞", "*", "今日新聞")}
-    assert a.lexicon().where("surface = '香港'").first().extra == ["Hong, Kong"]
+    assert got == {("台北", "toi4", "台北"), ("龍", "lung4", "龙"), ("明天", "*", "明天"), ("明天天氣", "*", "明天天氣")}
+    assert a.lexicon().where("surface = '台北'").first().extra == ["Tai, Pei"]
     with pytest.raises(LoadError):
         Analyzer.load_bytes(spark, Language.CHINESE_TW, ZH.encode(), LoadOptions(jyutping_csv_path=str(tmp_path / "none.csv")))
-    more = ja.add_user_entries([UserEntry("犬助", cost=-3000, pos="名詞", reading="ケンスケ"), UserEntry("犬", cost=1)])
-    assert [t.reading for t in more.tokenize_text("犬助")] == ["ケンスケ"] and len(ja.tokenize_text("犬助")) == 2
-    assert more.entry_info(4)["cost"] == 1 and more.entry_info(99) is None and more.stats().entries_hash != ja.stats().entries_hash
+    more = ja.add_user_entries([UserEntry("猫舎", cost=-3000, pos="名詞", reading="ネコシャ"), UserEntry("猫", cost=1)])
+    assert [t.reading for t in more.tokenize_text("猫舎")] == ["ネコシャ"] and len(ja.tokenize_text("猫舎")) == 2
+    assert more.entry_info(3)["cost"] == 1 and more.entry_info(99) is None and more.stats().entries_hash != ja.stats().entries_hash
     with pytest.raises(LoadError):
         ja.add_user_entries([UserEntry("")])
     with pytest.raises(ValueError):
@@ -113,7 +113,7 @@ def test_snapshots(spark, ja, tmp_path):
 def test_sql_and_streams(spark, ja, docs, tmp_path):
     sqlreg.register(ja, "ja_")
     docs.createOrReplaceTempView("texts")
-    assert spark.sql("SELECT ja_wakachi(text) AS w FROM texts WHERE id = 1").first().w == ["犬", "が", "歩く"]
+    assert spark.sql("SELECT ja_wakachi(text) AS w FROM texts WHERE id = 1").first().w == ["猫", "が", "走る"]
     assert spark.sql("SELECT size(ja_nbest(text, 2)) AS n FROM texts WHERE id = 1").first().n == 2
     assert spark.sql("SELECT count(*) AS n FROM texts, LATERAL ja_tokens(text) WHERE id IN (1, 4)").first().n == 6
     docs.write.parquet(f"{tmp_path}/in")
@@ -133,5 +133,5 @@ def test_evaluation(spark, ja, docs):
 
 def test_greedy_mode_ignores_an_open_lattice(spark):
     a = Analyzer.load_bytes(spark, Language.JAPANESE, JA.encode(), LoadOptions(mode=Mode.LONGEST_MATCH))
-    assert [t.surface for t in a.tokenize_text("犬が歩く")] == ["犬", "が", "歩く"]
-    assert [t.entry_id for t in a.tokenize_text("犬")] == [2]
+    assert [t.surface for t in a.tokenize_text("猫が走る")] == ["猫", "が", "走る"]
+    assert [t.entry_id for t in a.tokenize_text("猫")] == [1]

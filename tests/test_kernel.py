@@ -7,7 +7,7 @@ from tessera.operators.kernel import byte_offsets, first_malformed, scan_text
 from tessera.sources.resources import CharFlags, UnkPattern, UnkRule
 from tessera.types import BoundaryConstraint, CancelledError, CancelToken, CharClass, ConstraintError, ConstraintReason, Constraints, Language, MalformedInputError, Mode, PatternKind, TokenConstraint, TokenizeOptions, UnsatisfiableError
 
-WORDS = [("犬", 0, 0, 5000, "名詞,一般"), ("が", 0, 0, 4000, "助詞,格助詞,一般"), ("歩く", 0, 0, 6000, "動詞,自立"), ("東京", 0, 0, 3000, "名詞"), ("の", 0, 0, 3000, "助詞")]
+WORDS = [("猫", 0, 0, 5200, "名詞,一般"), ("が", 0, 0, 4000, "助詞,格助詞,一般"), ("走る", 0, 0, 6000, "動詞,自立"), ("大阪", 0, 0, 3000, "名詞"), ("の", 0, 0, 3000, "助詞")]
 
 
 def nbest(s, text, k, cons=Constraints()):
@@ -16,13 +16,13 @@ def nbest(s, text, k, cons=Constraints()):
 
 def test_words_offsets_and_fallbacks():
     s = segmenter(WORDS)
-    assert surfaces(s.segment("犬が歩く")) == ["犬", "が", "歩く"]
-    assert byte_offsets("犬が歩く") == [0, 3, 6, 9, 12]
+    assert surfaces(s.segment("猫が走る")) == ["猫", "が", "走る"]
+    assert byte_offsets("猫が走る") == [0, 3, 6, 9, 12]
     greedy = segmenter(WORDS, mode=Mode.LONGEST_MATCH)
-    assert surfaces(greedy.segment("東京の犬")) == ["東京", "の", "犬"]
-    unknown = greedy.segment("ザザ犬")[0]
-    assert (unknown.surface, unknown.pos, unknown.entry_id, unknown.char_class, unknown.lemma) == ("ザザ", "名詞,普通名詞", -1, CharClass.KATAKANA, "ザザ")
-    assert [t.char_class for t in greedy.segment("檜山檜")] == [CharClass.HANZI]
+    assert surfaces(greedy.segment("大阪の猫")) == ["大阪", "の", "猫"]
+    unknown = greedy.segment("ポポ猫")[0]
+    assert (unknown.surface, unknown.pos, unknown.entry_id, unknown.char_class, unknown.lemma) == ("ポポ", "名詞,普通名詞", -1, CharClass.KATAKANA, "ポポ")
+    assert [t.char_class for t in greedy.segment("椿谷椿")] == [CharClass.HANZI]
 
 
 def test_spaces_are_unknown_morphemes_and_lemmas_fall_back():
@@ -32,7 +32,7 @@ def test_spaces_are_unknown_morphemes_and_lemmas_fall_back():
 
 
 def test_malformed_bytes_are_one_byte_each():
-    text = "犬".encode() + b"\xff\xfe" + "が".encode()
+    text = "猫".encode() + b"\xff\xfe" + "が".encode()
     text = text.decode("utf-8", "surrogateescape")
     s = segmenter(WORDS, mode=Mode.LONGEST_MATCH)
     assert [len(t.surface.encode("utf-8", "surrogateescape")) for t in s.segment(text)] == [3, 2, 3]
@@ -42,73 +42,73 @@ def test_malformed_bytes_are_one_byte_each():
 
 
 def test_lattice_of_homographs():
-    s = segmenter([("さくら", 0, 0, 5500, "a"), ("さくら", 0, 0, 5600, "b")])
-    assert len(s.lattice("さくら").nodes) == 7
-    s = segmenter([("さくら", 0, 0, 5500, "a"), ("さくら", 0, 0, 5500, "b"), ("さ", 0, 0, 1, "c")])
-    assert s.matches("さくら", 0) == [0, 2, 1]
-    assert [t.entry_id for t in s.segment("さくら")] == [2]
-    assert [t.entry_id for t in segmenter([("さくら", 0, 0, 5500, "a"), ("さくら", 0, 0, 5500, "b")], mode=Mode.LONGEST_MATCH).segment("さくら")] == [0]
+    s = segmenter([("もみじ", 0, 0, 5350, "a"), ("もみじ", 0, 0, 5450, "b")])
+    assert len(s.lattice("もみじ").nodes) == 7
+    s = segmenter([("もみじ", 0, 0, 5350, "a"), ("もみじ", 0, 0, 5350, "b"), ("も", 0, 0, 1, "c")])
+    assert s.matches("もみじ", 0) == [0, 2, 1]
+    assert [t.entry_id for t in s.segment("もみじ")] == [2]
+    assert [t.entry_id for t in segmenter([("もみじ", 0, 0, 5350, "a"), ("もみじ", 0, 0, 5350, "b")], mode=Mode.LONGEST_MATCH).segment("もみじ")] == [0]
 
 
 def test_connection_costs():
-    rows = [("アス", 1, 1, 100, "x")]
-    assert surfaces(segmenter(rows, matrix=[[0, -8000], [-8000, 7000]]).segment("アアスア")) == ["ア", "アス", "ア"]
-    assert surfaces(segmenter(rows, mode=Mode.LONGEST_MATCH).segment("アアスア")) == ["アアスア"]
-    assert nbest(segmenter([("犬", 0, 0, 5000, "x")], matrix=[[42]]), "犬", 1) == [(5084, ["犬"])]
-    assert nbest(segmenter([("犬", 0, 0, 5000, "x")], matrix=[[-434]]), "犬", 1) == [(4132, ["犬"])]
-    assert nbest(segmenter([("犬", 9, 9, 5000, "x")], matrix=[[42]]), "犬", 1) == [(19000, ["犬"])]
-    empty = segmenter([], matrix=[[-434]])
-    assert empty.segment("") == [] and empty.nbest("", 3) == [(-434, [])] and len(empty.lattice("").nodes) == 2
+    rows = [("ミト", 1, 1, 100, "x")]
+    assert surfaces(segmenter(rows, matrix=[[0, -9000], [-9000, 6500]]).segment("ミミトミ")) == ["ミ", "ミト", "ミ"]
+    assert surfaces(segmenter(rows, mode=Mode.LONGEST_MATCH).segment("ミミトミ")) == ["ミミトミ"]
+    assert nbest(segmenter([("猫", 0, 0, 4700, "x")], matrix=[[31]]), "猫", 1) == [(4762, ["猫"])]
+    assert nbest(segmenter([("猫", 0, 0, 4700, "x")], matrix=[[-215]]), "猫", 1) == [(4270, ["猫"])]
+    assert nbest(segmenter([("猫", 8, 8, 4700, "x")], matrix=[[31]]), "猫", 1) == [(18700, ["猫"])]
+    empty = segmenter([], matrix=[[-215]])
+    assert empty.segment("") == [] and empty.nbest("", 3) == [(-215, [])] and len(empty.lattice("").nodes) == 2
 
 
 def test_nbest():
-    rows = [("A", 0, 0, 0, "x"), ("B", 0, 0, 0, "x")]
-    s = segmenter([*rows, ("AB", 0, 0, 10, "x")], Language.ENGLISH_US)
-    assert nbest(s, "AB", 2) == [(14010, ["AB"]), (21000, ["A", "B"])]
-    assert len(nbest(s, "AB", 0)) == 1 and len(nbest(s, "AB", 99)) == 2
-    assert [c for c, _ in nbest(segmenter([*rows, ("AB", 0, 0, 7000, "x")], Language.ENGLISH_US), "AB", 9)] == [21000, 21000]
+    rows = [("K", 0, 0, 0, "x"), ("M", 0, 0, 0, "x")]
+    s = segmenter([*rows, ("KM", 0, 0, 25, "x")], Language.ENGLISH_US)
+    assert nbest(s, "KM", 2) == [(14025, ["KM"]), (21000, ["K", "M"])]
+    assert len(nbest(s, "KM", 0)) == 1 and len(nbest(s, "KM", 99)) == 2
+    assert [c for c, _ in nbest(segmenter([*rows, ("KM", 0, 0, 7000, "x")], Language.ENGLISH_US), "KM", 9)] == [21000, 21000]
 
 
 def test_search_only_costs():
-    rows = [(c, 0, 0, 20000, "x") for c in "あいう"]
+    rows = [(c, 0, 0, 15000, "x") for c in "らりる"]
     s = segmenter(rows, flags={CharClass.HIRAGANA: CharFlags(True, True, 0)})
-    assert surfaces(s.segment("あいう")) == ["あいう"]
-    tokens = s.segment("あいう", TokenizeOptions(unk_cost_bias=80000))
-    assert surfaces(tokens) == ["あ", "い", "う"] and tokens[0].cost == 20000
-    s = segmenter([("Haus", 0, 0, 1000, "NOUN")], Language.GERMAN, flags={CharClass.ASCII_LETTER: CharFlags(True, True, 0)})
-    assert surfaces(s.segment("Hausmuseum")) == ["Hausmuseum"]
-    tokens = s.segment("Hausmuseum", TokenizeOptions(unk_cost_per_rune=3000))
-    assert surfaces(tokens) == ["Haus", "museum"] and tokens[1].cost == 0
+    assert surfaces(s.segment("らりる")) == ["らりる"]
+    tokens = s.segment("らりる", TokenizeOptions(unk_cost_bias=60000))
+    assert surfaces(tokens) == ["ら", "り", "る"] and tokens[0].cost == 15000
+    s = segmenter([("Dorf", 0, 0, 900, "NOUN")], Language.GERMAN, flags={CharClass.ASCII_LETTER: CharFlags(True, True, 0)})
+    assert surfaces(s.segment("Dorfbrunnen")) == ["Dorfbrunnen"]
+    tokens = s.segment("Dorfbrunnen", TokenizeOptions(unk_cost_per_rune=2500))
+    assert surfaces(tokens) == ["Dorf", "brunnen"] and tokens[1].cost == 0
 
 
 @pytest.mark.parametrize(("flags", "ends"), [(CharFlags(False, False, 2), [1, 2]), (CharFlags(False, True, 0), [4]), (CharFlags(False, False, 0), [1]), (CharFlags(False, True, 9), [4, 1, 2, 3])])
 def test_unknown_candidates(flags, ends):
-    nodes = segmenter([], flags={CharClass.KATAKANA: flags}).lattice("ザザザザ").nodes
+    nodes = segmenter([], flags={CharClass.KATAKANA: flags}).lattice("ポポポポ").nodes
     assert [n.end for n in nodes if n.start == 0 and n.entry_id == -1] == ends
 
 
 def test_unknown_ladder():
-    patterns = [UnkPattern(PatternKind.PREFIX, "第", 0, 0, 4600, "p"), UnkPattern(PatternKind.SUFFIX, "的", 0, 0, 4500, "s"), UnkPattern(PatternKind.CHARSET, CharClass.KATAKANA, 0, 0, 4800, "k")]
-    d = segmenter([], patterns=patterns, rules=[UnkRule(CharClass.HIRAGANA, 0, 0, 4000, "h")]).d
-    got = [d.resolve(c, t)[:2] for t, c in (("国際的", CharClass.KANJI), ("第三的", CharClass.KANJI), ("ケケ", CharClass.KATAKANA), ("あいう", CharClass.HIRAGANA), ("あ", CharClass.DIGIT))]
-    assert got == [("s", 4500), ("p", 4600), ("k", 4800), ("h", 4000), ("名詞,普通名詞", 0)]
+    patterns = [UnkPattern(PatternKind.PREFIX, "第", 0, 0, 4550, "p"), UnkPattern(PatternKind.SUFFIX, "的", 0, 0, 4400, "s"), UnkPattern(PatternKind.CHARSET, CharClass.KATAKANA, 0, 0, 4700, "k")]
+    d = segmenter([], patterns=patterns, rules=[UnkRule(CharClass.HIRAGANA, 0, 0, 3900, "h")]).d
+    got = [d.resolve(c, t)[:2] for t, c in (("本格的", CharClass.KANJI), ("第五的", CharClass.KANJI), ("ヌヌ", CharClass.KATAKANA), ("あいう", CharClass.HIRAGANA), ("あ", CharClass.DIGIT))]
+    assert got == [("s", 4400), ("p", 4550), ("k", 4700), ("h", 3900), ("名詞,普通名詞", 0)]
 
 
 def test_constraints():
     pin = lambda a, b, pos="": Constraints((TokenConstraint(a, b, pos),))
-    s = segmenter([("さくら", 0, 0, 5500, "名詞,一般"), ("さくら", 0, 0, 6000, "名詞,固有名詞,人名")])
-    assert s.segment("さくらが", cons=pin(0, 9, "名詞,固有名詞"))[0].cost == 6000
+    s = segmenter([("もみじ", 0, 0, 5350, "名詞,一般"), ("もみじ", 0, 0, 6150, "名詞,固有名詞,人名")])
+    assert s.segment("もみじが", cons=pin(0, 9, "名詞,固有名詞"))[0].cost == 6150
     s = segmenter([("が", 0, 0, 4000, "助詞")])
-    assert surfaces(s.segment("どずが", cons=pin(0, 9))) == ["どずが"]
-    assert surfaces(s.segment("どずが", cons=pin(3, 6))) == ["ど", "ず", "が"]
+    assert surfaces(s.segment("ぬべが", cons=pin(0, 9))) == ["ぬべが"]
+    assert surfaces(s.segment("ぬべが", cons=pin(3, 6))) == ["ぬ", "べ", "が"]
     with pytest.raises(UnsatisfiableError, match="byte offset 6"):
-        s.segment("どずが", cons=pin(3, 6, "動詞"))
-    s = segmenter([("あ", 0, 0, 5000, "x"), ("い", 0, 0, 5000, "x"), ("あい", 0, 0, 9000, "x")])
+        s.segment("ぬべが", cons=pin(3, 6, "動詞"))
+    s = segmenter([("な", 0, 0, 4900, "x"), ("に", 0, 0, 4900, "x"), ("なに", 0, 0, 9100, "x")])
     at = lambda must: Constraints((), (BoundaryConstraint(3, must),))
-    assert surfaces(s.segment("あい", cons=at(False))) == ["あい"] and surfaces(s.segment("あい", cons=at(True))) == ["あ", "い"]
-    assert nbest(s, "あい", 3, at(True)) == [(31000, ["あ", "い"])]
+    assert surfaces(s.segment("なに", cons=at(False))) == ["なに"] and surfaces(s.segment("なに", cons=at(True))) == ["な", "に"]
+    assert nbest(s, "なに", 3, at(True)) == [(30800, ["な", "に"])]
     with pytest.raises(UnsatisfiableError, match="byte offset 3"):
-        segmenter([("あい", 0, 0, 0, "x")], flags={CharClass.HIRAGANA: CharFlags(False, True, 0)}).segment("あい", cons=at(True))
+        segmenter([("なに", 0, 0, 0, "x")], flags={CharClass.HIRAGANA: CharFlags(False, True, 0)}).segment("なに", cons=at(True))
 
 
 @pytest.mark.parametrize(
@@ -129,7 +129,7 @@ def test_constraints():
 def test_bad_constraints(tokens, bounds, reason, index):
     cons = Constraints(tuple(TokenConstraint(*t) for t in tokens), tuple(BoundaryConstraint(*b) for b in bounds))
     with pytest.raises(ConstraintError) as e:
-        scan_text("さくらが", TokenizeOptions(), cons)
+        scan_text("もみじが", TokenizeOptions(), cons)
     assert (e.value.reason, e.value.index) == (reason, index)
 
 
@@ -146,7 +146,7 @@ def test_cancelled():
     opts = TokenizeOptions(cancel_token=spent)
     s = segmenter(WORDS)
     assert s.segment("", opts) == []
-    for call in (lambda: s.segment("犬", opts), lambda: s.nbest("", 1, opts)):
+    for call in (lambda: s.segment("猫", opts), lambda: s.nbest("", 1, opts)):
         with pytest.raises(CancelledError, match="byte offset 0"):
             call()
 
@@ -170,3 +170,20 @@ def test_best_path_is_the_cheapest_and_runs_are_independent(entries, text, linke
 
         of = BatchSegmenter(s.d)
         assert [list(of.table.number)[i] for i in of.numbers(text, opts)] == s.segment(text, opts)
+
+
+def test_lone_continuation_bytes_are_no_boundaries():
+    text = (b"ab" + b"\x80\xc3" + b"c").decode("utf-8", "surrogateescape")
+    at = lambda b: Constraints((), (BoundaryConstraint(b, True),))
+    with pytest.raises(ConstraintError, match="Not_Rune_Boundary"):
+        scan_text(text, TokenizeOptions(), at(2))
+    assert scan_text(text, TokenizeOptions(), at(3)) == text and scan_text(text, TokenizeOptions(), at(1)) == text
+
+
+def test_long_runs_with_patterns():
+    import time
+
+    patterns = [UnkPattern(PatternKind.CHARSET, CharClass.ASCII_LETTER, 0, 0, 50, "w")]
+    s = segmenter([], Language.ENGLISH_US, patterns=patterns, flags={CharClass.ASCII_LETTER: CharFlags(True, True, 2)})
+    start = time.time()
+    assert s.segment("q" * 40_000)[0].pos == "w" and time.time() - start < 10
