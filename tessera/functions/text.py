@@ -92,6 +92,11 @@ def safe_chunk_offsets(text: Column, target: int | Column) -> Column:
     return F.transform(_cuts(_lines(text), target), lambda c: c["at"])
 
 
+def pos_has(pos: Column, part: str) -> Column:
+    """Whether ``part`` occurs in a part of speech."""
+    return F.contains(pos, F.lit(part))
+
+
 def pos_pattern_valid(pattern: Column) -> Column:
     return (pattern == "") | ~pattern.rlike("^,|,$|,,")
 

@@ -26,6 +26,7 @@ from tessera.functions.text import classify_locale
 from tessera.operators.batches import BatchSegmenter, decoded, joined, nbest_rows, segmented, segmenter_of, slices
 from tessera.operators.compiled import CompiledDictionary
 from tessera.operators.kernel import Segmenter, Token, scan_text
+from tessera.plans.views import Morphemes
 from tessera.sources import lexicon as lx
 from tessera.sources import resources as rs
 from tessera.types import LEXICON, MORPHEME, PATH, SPAN, CancelledError, CharClass, Constraints, Language, LoadError, LoadOptions, Mode, PatternKind, SaveError, Stats, TesseraError, TokenizeOptions, UnavailableError, UserEntry
@@ -196,6 +197,12 @@ class Analyzer:
         keep = [c for c in df.columns if c != text and c not in ("seq", *kind.names)]
         return rows.select(*[f"`{c}`" for c in keep], F.posexplode("morphemes_").alias("seq", "m")).select(*[f"`{c}`" for c in keep], "seq", "m.*")
 
+    def tokenize_into(self, df: DataFrame, path: str, text: str = "text", opts: TokenizeOptions | None = None) -> DataFrame:
+        """Write the morphemes to a Parquet table at ``path``, whose old contents go, and return it."""
+        done = self.tokenize(df, text, opts=opts)
+        done.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(done.schema).parquet(path)
+
     def wakachi(self, df: DataFrame, text: str = "text", out: str = "surfaces", opts: TokenizeOptions | None = None, on_error: str = "raise") -> DataFrame:
         return self._segmented(df, None, text, out, opts, on_error)
 
@@ -234,6 +241,10 @@ class Analyzer:
     def tokenize_text(self, text: str | bytes, opts: TokenizeOptions = TokenizeOptions(), constraints: Constraints | None = None) -> list[Token]:
         return Segmenter(self._open()).segment(self._scanned(text, opts, constraints or Constraints()), opts, constraints)
 
+    def morphemes_text(self, text: str | bytes, opts: TokenizeOptions = TokenizeOptions(), constraints: Constraints | None = None) -> Morphemes:
+        """The morphemes of one text as a lazy sequence, which needs the analyser no more."""
+        return Morphemes.whole(BatchSegmenter(self._open()), self.tokenize_text(text, opts, constraints))
+
     def nbest_text(self, text: str | bytes, k: int, opts: TokenizeOptions = TokenizeOptions(), constraints: Constraints = Constraints()) -> list[tuple[int, list[Token]]]:
         return Segmenter(self._open()).nbest(self._scanned(text, opts, constraints), k, opts, constraints)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.types import TokenizeOptions
+
 
 def interior(surfaces: Column) -> Column:
     """Ends in characters of all surfaces but the last."""
@@ -38,6 +42,21 @@ def mismatches(df: DataFrame, text: str, gold: str, predicted: str, class_of_cod
     return parts[0].union(parts[1]).groupBy("kind", class_of_code(F.ascii(F.substring("t", F.col("at"), F.lit(1)))).alias("char_class")).agg(F.count("*").alias("n"))
 
 
+def median(values: str | Column) -> Column:
+    """The exact median, the mean of the middle two; 0 of no values."""
+    return F.coalesce(F.median(values), F.lit(0.0))
+
+
+def grid_sweep(analyzer, df: DataFrame, text: str, gold: str, biases: list[int], per_runes: list[int]) -> DataFrame:
+    """(bias, per_rune, f1) of the cheapest path against ``gold`` for every point of a grid of unknown-word costs."""
+    parts = []
+    for bias in biases:
+        for per_rune in per_runes:
+            found = analyzer.wakachi(df, text, "found_", TokenizeOptions(unk_cost_bias=bias, unk_cost_per_rune=per_rune))
+            parts.append(boundary_scores(found, gold, "found_").select(F.lit(bias).alias("bias"), F.lit(per_rune).alias("per_rune"), "f1"))
+    return reduce(DataFrame.union, parts)
+
+
 def oracle_at_k(df: DataFrame, key: str, gold: str, paths: str, ks: list[int]) -> DataFrame:
     """(k, f1): the best path of the first k of each row, micro-averaged; of equal paths the cheaper one.
 

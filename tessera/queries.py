@@ -48,7 +48,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = runs(spark, sf_dir).where(F.char_length("run").between(2, 8)).orderBy(F.desc("n"), "run").limit(WORDS)
+    return ranked_rows(runs(spark, sf_dir))
+
+
+def ranked_rows(words: DataFrame) -> DataFrame:
+    """The lexicon that the most frequent of ``words`` (run, n) make."""
+    top = words.where(F.char_length("run").between(2, 8)).orderBy(F.desc("n"), "run").limit(WORDS)
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "run"))
     pos = F.element_at(F.array(*[F.lit(p) for p in ("NOUN,common", "VERB", "NOUN,proper", "ADP")]), F.col("rank") % 4 + 1)
     return top.withColumn("rank", rank).select(

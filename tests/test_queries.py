@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import queries
+from tessera import queries, queries_files
 from tessera.functions.text import classify_locale, safe_chunk_offsets, safe_chunks
 from tessera.operators import relational as rel
 from tessera.operators.kernel import Segmenter
@@ -23,12 +23,16 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+QUERIES = queries.QUERIES | queries_files.QUERIES
+ORACLES = queries.ORACLES | queries_files.ORACLES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     assert len(got)
-    if name in queries.ORACLES:
-        want = duck.sql(queries.ORACLES[name]).df()
+    if name in ORACLES:
+        want = duck.sql(ORACLES[name]).df()
         columns = sorted(want.columns)
         assert sorted(got.columns) == columns
         rows = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))
