@@ -2,12 +2,12 @@
 
 Nodes are put in inverted lists by shingle, with the component that they are in so far. A shingle of one component
 alone links nothing new, and a set of n shingles can be linked only if three quarters of them are in other components,
-too. A round looks at the rare shingles, those of few components: components that share one are paired, then their
-nodes, and a pair stays if its common rare shingles and the frequent ones of either node could add up to the threshold.
+too. A round looks at the rare shingles, those of few components: components that share one are paired, and stay so if
+their common rare shingles and the frequent ones of their nodes could add up to the threshold; so does a pair of nodes.
 A pair without any common rare shingle has to reach the threshold by frequent ones alone, which needs six sevenths of
 the smaller set; while there are such nodes, the next round takes them, with their frequent shingles and a higher bound
-of what counts as rare. Components are paired on the sums of their shingles before their nodes are, so that a large one
-is unfolded only where a pair may be found. So every pair over the threshold is found, and none is listed that the bounds rule out.
+of what counts as rare. Components are paired on sums before their nodes are, so that a large one is unfolded only where
+a pair may be found. So every pair over the threshold is found, and none is listed that the bounds rule out.
 
 With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
 """
@@ -46,33 +46,36 @@ def inverted(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(sets.join(nodes.select("id", "n", "component"), "id").select("id", "n", "component", "shingles"), kernel, "s long, component long, id long, n long")
 
 
+def shared(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``k``, the number of components of each shingle, without the shingles of one component."""
+    counted = lists.select("s", "component").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    return lists.join(counted, "s").select("s", "component", "id", "n", "k")
+
+
 def useful(lists: DataFrame, most: int) -> DataFrame:
-    """``lists`` without shingles of one component and nodes that can't be linked, with ``often`` (the shingle is in more
-    than ``most`` components) and the node's numbers of rare and of frequent shingles."""
-    shared = lists.select("s", "component").distinct().groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    some = lists.join(shared, "s").select("s", "component", "id", "n", (F.col("k") > most).alias("often"))
+    """``lists`` without nodes that can't be linked, with ``often`` (the shingle is in more than ``most`` components) and
+    the node's numbers of rare and of frequent shingles."""
     node = Window.partitionBy("id")
+    some = lists.withColumn("often", F.col("k") > most)
     sized = some.withColumn("n_rare", F.count_if(~F.col("often")).over(node)).withColumn("n_often", F.count_if("often").over(node))
     return sized.where("4 * (n_rare + n_often) >= 3 * n")
 
 
 def rare_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of the nodes of ``lists`` that share a rare shingle, are in two components and may be linked."""
+    """(a, b) of the nodes of ``lists`` whose components share rare shingles, and which may be linked."""
     rare = lists.where("not often").withColumn("total", F.col("n_rare") + F.col("n_often"))
     sides = rare.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max("n_often").alias("rest"))
     x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least", "rest")]) for k in "ab")
-    met = stored(x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a"), "met")
+    met = x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a")
     sums = met.groupBy("component_a", "component_b").agg(F.count("*").alias("common"), *[F.max(f"rest_{k}").alias(f"rest_{k}") for k in "ab"], *[F.min(f"least_{k}").alias(f"least_{k}") for k in "ab"])
-    hopeful = sums.where("7 * (common + least(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b")
-    pairs = met.select("s", "component_a", "component_b").join(hopeful, ["component_a", "component_b"])
+    pairs = sums.where("7 * (common + least(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b", "common")
+    nodes = stored(rare.select("id", "component", "n", "n_rare", "n_often").distinct(), "rare-nodes")
     for k in "ab":
-        side = rare.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "id", "n", "n_often", "total")])
-        pairs = pairs.join(side, ["s", f"component_{k}"])
-    pairs = pairs.where("7 * least(total_a, total_b) >= 3 * (n_a + n_b)")
-    counted = pairs.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
-        F.count("*").alias("common"), F.first(F.least("n_often_a", "n_often_b")).alias("rest"), F.first(F.col("n_a") + F.col("n_b")).alias("both")
-    )
-    return counted.where("7 * (common + rest) >= 3 * both").select("a", "b")
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "n_rare", "n_often")]), f"component_{k}")
+        if k == "a":
+            pairs = pairs.where("4 * (least(common, n_rare_a) + n_often_a) >= 3 * n_a")
+    pairs = pairs.where("7 * (least(common, n_rare_a, n_rare_b) + least(n_often_a, n_often_b)) >= 3 * (n_a + n_b)")
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def dense_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -80,14 +83,16 @@ def dense_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``sets`` (id, shingles) has the full set of each node, and maybe others.
     """
-    found, lists, most = [], stored(inverted(nodes, sets), "lists"), RARE
+    first = stored(inverted(nodes, sets), "lists")
+    found, lists, most = [], stored(shared(first), "shared"), RARE
+    forget(first)
     while True:
         some = stored(useful(lists, most), "useful")
         forget(lists)
         found.append(stored(rare_pairs(some), "dense-pairs"))
-        lists = some.where("often and 4 * n_often >= 3 * n").select("s", "component", "id", "n", "n_often")
+        lists = some.where("often and 4 * n_often >= 3 * n")
         if lists.where("7 * n_often >= 6 * n").isEmpty():
             forget(some)
             return reduce(DataFrame.union, found).distinct()
-        lists, most = stored(lists.drop("n_often"), "lists"), most * WIDER
+        lists, most = stored(lists.select("s", "component", "id", "n", "k"), "lists"), most * WIDER
         forget(some)
