@@ -187,7 +187,7 @@ def constraint_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constrained_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of the two cheapest paths of every distinct run that have a boundary after the second byte, or the fault."""
+    """Costs of the two cheapest paths of every distinct run, under a column of constraints that are all null."""
     out = q.analyzer(spark, sf_dir).nbest(q.runs(spark, sf_dir).select("run").withColumn("c", F.lit(None).cast(CONSTRAINT_TYPE)), 2, "run", constraints="c", on_error="column")
     return out.select("run", F.explode("paths").alias("p")).select("run", "p.rank", "p.cost")
 
