@@ -135,3 +135,28 @@ def test_greedy_mode_ignores_an_open_lattice(spark):
     a = Analyzer.load_bytes(spark, Language.JAPANESE, JA.encode(), LoadOptions(mode=Mode.LONGEST_MATCH))
     assert [t.surface for t in a.tokenize_text("猫が走る")] == ["猫", "が", "走る"]
     assert [t.entry_id for t in a.tokenize_text("猫")] == [1]
+
+
+def test_morphemes_are_a_lazy_sequence(spark):
+    a = Analyzer.load_bytes(spark, Language.JAPANESE, JA.encode())
+    view = a.morphemes_text("猫が走る")
+    a.close()
+    assert len(view) == 3 and [m["surface"] for m in view] == ["猫", "が", "走る"]
+    assert (view[-1]["start"], view[-1]["end"], view[1]["pos"]) == (6, 12, "助詞,格助詞,一般")
+    assert view[1:] == [view[1], view[2]] and view[::2][1] == view[2] and list(view[3:]) == []
+    with pytest.raises(IndexError):
+        view[3]
+
+
+def test_tokens_written_over_a_table(spark, ja, docs, tmp_path):
+    for _ in range(2):
+        out = ja.tokenize_into(docs, f"{tmp_path}/out")
+    assert out.count() == 4 and out.where("id = 1").first().morphemes[0].surface == "猫"
+
+
+def test_median_and_grid(spark, ja, docs):
+    df = spark.createDataFrame([(5.0,), (1.0,), (2.0,), (9.0,)], "x double")
+    assert df.agg(evaluate.median("x")).first()[0] == 3.5 and df.limit(0).agg(evaluate.median("x")).first()[0] == 0.0
+    gold = ja.wakachi(docs.where("id = 1"), out="gold")
+    points = evaluate.grid_sweep(ja, gold, "text", "gold", [0, 100], [0]).collect()
+    assert [(p.bias, p.per_rune, p.f1) for p in points] == [(0, 0, 1.0), (100, 0, 1.0)]

@@ -82,3 +82,29 @@ def test_class_pattern_and_tables():
     assert "".join(runs) == text and all(len({table.of(c) for c in r}) == 1 for r in runs)
     assert len(SPELLINGS) == 71 and read_zh_table("# x\n認\t认\n后\t后 後\nab\tc\n") == {"認": "认", "后": "后"}
     assert np.array(default_ranges(Language.CHINESE_TW), dtype=object).shape[0] == len(default_ranges(Language.CHINESE_CN)) + 2
+
+
+def test_gold_corpus_lines(spark):
+    from tessera.sources import corpora
+
+    text = "# id\n* 0\nalpha x\r\nbeta\ty\n+ 1\nEOS\n\ngamma\nEOS\nEOS\nlast"
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(text.split("\n"))] + [("g", 0, "EOS")], "file string, line_no int, value string")
+    got = {(r.file, r.sentence): r.surfaces for r in corpora.gold_sentences(lines).collect()}
+    assert got == {("f", 0): ["alpha", "beta"], ("f", 1): ["gamma"], ("f", 2): [], ("g", 0): []}
+    assert corpora.listing(" a/b.knp \n\nc.knp\r\n") == ["a/b.knp", "c.knp"]
+    df = spark.createDataFrame([(["a b", "c"],), (["ab"],)], "s array<string>")
+    assert [r[0] for r in df.select(corpora.has_blank(df.s)).collect()] == [True, False]
+
+
+def test_matrix_lines_in_either_form():
+    import pytest
+
+    from tessera.sources.resources import matrix
+    from tessera.types import LoadError
+
+    plain, odd = matrix("2 2\n0 1 5\n1 1 -40000\n0 1 6\n\n"), matrix("2 2\n0 1 5 more\n1 1 -40000\n0 1 6\n")
+    for m in (plain, odd):
+        assert (m.costs.tolist(), m.explicit) == ([[7000, 6], [7000, -32768]], 2)
+    for bad in ("2 2\n0 2 5\n", "2 2\n0 1\n", "2 2\nx 1 1\n"):
+        with pytest.raises(LoadError):
+            matrix(bad)
