@@ -1,11 +1,12 @@
 """Op 10, approximate nearest neighbours by cross-polytope hashing.
 
 A table turns the unit vector by three rounds of random signs and a fast Hadamard transform and assigns it to the
-nearest signed axis. Every row is hashed once, when it is packed: its block carries the tables, each the rows of every
-bucket one after another. A query is hashed once, too, into the buckets of the axes nearest to it, some for each table;
-their rows are its candidates, and are reranked by the exact Euclidean distance of the original vectors in double
-precision. Vectors travel once and not once for each table, and only what shares a bucket with a query is looked at. A
-block that yields fewer than k candidates to a query gives it all its rows.
+nearest signed axis. Each row is hashed once, in the group of candidates that it is dealt to, and each query once in every
+group, into the buckets of the axes nearest to it, some for each table. Table by table and bucket by bucket, the rows of
+a bucket meet the queries that look into it: a product of the two in single precision, with a bound of its error, leaves
+the pairs that may be nearer than the k nearest so far, and these are reranked by the exact Euclidean distance of the
+original vectors in double precision. So only what shares a bucket with a query is looked at, and the first ``FIRST``
+rows of a group, by which every query has a bound, and k candidates if there are as many.
 
 Directions decide the buckets and distances the ranks, so recall is highest where norms are alike; the parameters
 below give over 0.9 on the test tables and on log-normal norms (measured by the tests). See ``vectors`` for nulls, ties,
@@ -20,13 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.pretokens import taken
-from tessera.llm.vectors import Side, search_blocks, usable
+from tessera.llm.vectors import Best, Search, Side, search_blocks, widened
 
 K = 10
 TABLES = 16
 PROBES = 6
 SEED = 11
+FIRST = 256
+#: Queries of a bucket, pairs of a product, and the widest vector that is turned by one matrix.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE, MATRIX = 8192, 1 << 20, 256
 
 
 @functools.lru_cache(maxsize=8)
@@ -46,15 +49,25 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def rotated(unit: np.ndarray, table: int, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
-    width = 1 << max(0, unit.shape[1] - 1).bit_length()
-    x = np.zeros((len(unit), width))
-    x[:, : unit.shape[1]] = unit
-    for s in signs(width, tables, seed)[table]:
+def turned(x: np.ndarray, table: int, tables: int, seed: int) -> np.ndarray:
+    for s in signs(x.shape[1], tables, seed)[table]:
         x = hadamard(x * s)
     return x
 
 
+@functools.lru_cache(maxsize=8 * TABLES)
+def rotation(width: int, table: int, tables: int, seed: int) -> np.ndarray:
+    """What ``turned`` makes of each axis, for vectors so short that one product with it is faster."""
+    return turned(np.eye(width), table, tables, seed)
+
+
+def rotated(unit: np.ndarray, table: int, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
+    width = 1 << max(0, unit.shape[1] - 1).bit_length()
+    if width <= MATRIX:
+        return unit @ rotation(width, table, tables, seed)[: unit.shape[1]]
+    return turned(widened(unit, width), table, tables, seed)
+
+
 def units(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -86,43 +99,107 @@ def in_tables(v: np.ndarray, tables: int, seed: int) -> bytes:
     return np.concatenate([*edges, *rows]).astype(np.int32).tobytes()
 
 
-def in_probes(q: np.ndarray, tables: int, probes: int, seed: int) -> bytes:
-    """(queries, tables * probes): the places of the probed buckets among the bucket starts of a block's tables."""
-    unit = units(q)
-    turned = [rotated(unit, t, tables, seed) for t in range(tables)]
-    return np.hstack([probed(x, probes) + t * (2 * x.shape[1] + 1) for t, x in enumerate(turned)]).astype(np.int32).tobytes()
+def in_probes(q: np.ndarray, tables: int, probes: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table where its buckets start, and the queries that look into each bucket, one bucket after another."""
+    unit, out = units(q), []
+    for t in range(tables):
+        x = rotated(unit, t, tables, seed)
+        asked = probed(x, probes)
+        order = np.argsort(asked.ravel(), kind="stable")
+        out.append((np.searchsorted(asked.ravel()[order], np.arange(2 * x.shape[1] + 1)), (order // asked.shape[1]).astype(np.int32)))
+    return out
+
+
+class Screen:
+    """Which pairs of queries and rows may be as near as a bound, by products with a bound of their rounding."""
+
+    def __init__(self, q: np.ndarray, v: np.ndarray):
+        size = [np.abs(x).max(1, initial=0) for x in (q, v)]
+        small = all(1e-12 < x.min(initial=1) and x.max(initial=1) < 1e12 for x in size)
+        kind = np.float32 if small else np.float64
+        self.slack = 8 * (q.shape[1] + 8) * float(np.finfo(kind).eps)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.q, self.v = (2 * q).astype(kind), v.astype(kind)
+            self.q_norm, norm = ((x.astype(np.float64) ** 2).sum(1) * (1 - self.slack) for x in (q, v))
+            self.norm = norm.astype(kind)
+
+    def near(self, queries: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices into ``queries`` and ``rows`` of the pairs whose distance may be ``bound`` of the query or less."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            product = self.q[queries] @ self.v[rows].T
+            product -= self.norm[rows]
+            least = (self.q_norm[queries] - bound[queries] ** 2 * (1 + 1e-9)).astype(product.dtype)
+            least -= np.abs(least) * product.dtype.type(self.slack)
+            return np.nonzero(~(product < least[:, None]))  # what can't be told stays
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``df`` where ``is_query`` (over the column id) holds; score is the distance."""
-    rows = usable(df, id, vector, nonzero=True)
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-
-    def search(queries: Side, block: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (q_ids, q, asked), (ids, v, index) = queries, block
-        index, n = np.frombuffer(index, np.int32), len(ids)
-        edges, members = index[: len(index) - tables * n], index[len(index) - tables * n :]
-        asked = np.frombuffer(asked, np.int32).reshape(len(q), -1)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i, query in enumerate(q):
-            start = edges[asked[i]].astype(np.int64)
-            near = np.zeros(n, bool)
-            near[taken(members, start, edges[asked[i] + 1] - start)] = True
-            low, high = np.searchsorted(ids, q_ids[i]), np.searchsorted(ids, q_ids[i], side="right")
-            near[low:high] = False
-            if near.sum() < k:
-                near[:] = True
-                near[low:high] = False
-            at = np.flatnonzero(near)
-            away = np.sqrt(((v[at] - query) ** 2).sum(1))
-            best = np.lexsort((ids[at], away))[:k] if len(at) <= 4 * k else _least(away, ids[at], k)
-            out.append((np.full(len(best), i), ids[at[best]], away[best]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return search_blocks(rows, is_query, search, k, "double", descending=False, width=width, probe=lambda q: in_probes(q, tables, probes, seed), index=lambda v: in_tables(v, tables, seed))
-
-
-def _least(away: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k least, of equal ones those with smaller ids."""
-    near = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1])
-    return near[np.lexsort((ids[near], away[near]))[:k]]
+
+    def search(queries: Side, best: Best) -> Search:
+        q_ids, all_q = queries
+        asked: dict[int, list] = {}
+        first = True
+
+        def go(block: Side) -> None:
+            nonlocal first
+            ids, v = block
+            width = max(all_q.shape[1], v.shape[1])
+            q, v = widened(all_q, width), widened(v, width)
+            if width not in asked:
+                asked.clear()
+                asked[width] = in_probes(q, tables, probes, seed)
+            screen = Screen(q, v)
+
+            def rank(some: np.ndarray, rows: np.ndarray) -> None:
+                step = max(1, PAIRS_AT_ONCE // max(1, len(rows)))
+                for a in range(0, len(some), step):
+                    part = some[a : a + step]
+                    which, row = screen.near(part, rows, best.bound)
+                    which, row = part[which], rows[row]
+                    other = ids[row] != q_ids[which]
+                    which, row = which[other], row[other]
+                    away = np.concatenate([np.zeros(0), *(np.sqrt(((v[row[c : c + 65536]].astype(np.float64) - q[which[c : c + 65536]]) ** 2).sum(1)) for c in range(0, len(row), 65536))])
+                    fits = (away < best.bound[which]) | (away == best.bound[which]) & ((best.n[which] < k) | (ids[row] < best.id[which, -1]))
+                    found.append((which[fits], row[fits], away[fits]))
+
+            def settle() -> None:
+                """Merge what was found; a row that several buckets yield counts once."""
+                if found:
+                    which, row, away = (np.concatenate(x) for x in zip(*found, strict=True))
+                    found.clear()
+                    _, at = np.unique(which.astype(np.int64) * len(ids) + row, return_index=True)
+                    at = at[~met.held(which[at], row[at])]
+                    best.merge(which[at], ids[row[at]], away[at])
+
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            met = Met(len(ids))
+            raw = np.frombuffer(in_tables(v, tables, seed), np.int32)
+            edges, members = raw[: len(raw) - tables * len(ids)].reshape(tables, -1), raw[len(raw) - tables * len(ids) :]
+            if first:
+                first = False
+                start = np.linspace(0, len(ids), min(FIRST, len(ids)), endpoint=False).astype(np.int64)
+                for a in range(0, len(q), QUERIES_AT_ONCE):
+                    rank(np.arange(a, min(a + QUERIES_AT_ONCE, len(q))), start)
+                    settle()
+            for t, (starts, lookers) in enumerate(asked[width]):
+                for b in np.flatnonzero((np.diff(starts) > 0) & (np.diff(edges[t]) > 0)):
+                    rank(lookers[starts[b] : starts[b + 1]], members[edges[t, b] : edges[t, b + 1]])
+                settle()
+
+        return go
+
+    return search_blocks(df, is_query, search, k, "double", False, id, vector, nonzero=True)
+
+
+class Met:
+    """Pairs of queries and rows of a block that were merged before."""
+
+    def __init__(self, n: int):
+        self.n, self.pairs = n, np.zeros(0, np.int64)
+
+    def held(self, which: np.ndarray, row: np.ndarray) -> np.ndarray:
+        pair = which.astype(np.int64) * self.n + row
+        old = np.isin(pair, self.pairs)
+        self.pairs = np.concatenate((self.pairs, pair[~old]))
+        return old

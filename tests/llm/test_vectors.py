@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import neighbours, topk
+from tessera.llm import neighbours, topk, vectors
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +142,49 @@ def test_exact_topk_of_large_components(spark):
         best = sorted((-fits(sum(a * b for a, b in zip(mine, x, strict=True))), i) for x, (i, _) in zip(w, rows, strict=True) if i != q)[:5]
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert {i: s for _, i, s in got[0]}[2] == 131072000000000000 and {i: s for _, i, s in got[0]}[1] == 65536000000000000
+
+
+def test_queries_are_copied_no_more_than_candidates_outweigh_them(spark, table, monkeypatch):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    whole = sorted(map(tuple, topk.top_k(table, F.col("id") % 50 == 0).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        rows = vectors.usable(table)
+        n, asked = table.where("vec_id is not null").count(), table.where("vec_id % 50 = 0").count()
+        groups, slices, _ = vectors.grid(table, rows, F.col("id") % 50 == 0, "vec_id")
+        assert (groups, slices) == (-(-n // asked), 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    monkeypatch.setattr(vectors, "HELD", 2000)
+    assert vectors.grid(table, rows, F.col("id") % 50 == 0, "vec_id")[1] == 2
+    assert sorted(map(tuple, topk.top_k(table, F.col("id") % 50 == 0).collect())) == whole
+
+
+def test_sums_in_32_bits_only_where_they_fit():
+    rng = np.random.default_rng(5)
+    for most in (3, 200, 60_000, 1 << 33):
+        q, w = rng.integers(-most, most, (5, 9)), rng.integers(-most, most, (300, 9))
+        w[rng.random(w.shape) < [0.0, 0.02, 0.4, 0.5, 0.6, 0.9, 1.0, 0.0, 0.3]] = 0
+        q[:3, 4] = 0
+        want = q.astype(object) @ w.T.astype(object)
+        assert (topk.accumulate(q, topk.postings(w), len(w)) == np.clip(want, -(2**63) + 1, 2**63 - 1)).all()
+
+
+def test_screen_keeps_every_pair_within_the_bound():
+    rng = np.random.default_rng(6)
+    for scale in (1e-200, 1e-8, 1.0, 1e8, 1e200):
+        q = rng.normal(size=(30, 20)) * scale
+        v = np.concatenate((q[:7], q[:20] + rng.normal(size=(20, 20)) * scale * 1e-6, rng.normal(size=(200, 20)) * scale))
+        with np.errstate(over="ignore"):
+            away = np.sqrt(((q[:, None] - v) ** 2).sum(2))
+        bound = np.sort(away, axis=1)[:, 4]
+        got = np.zeros(away.shape, bool)
+        got[neighbours.Screen(q, v).near(np.arange(30), np.arange(len(v)), bound)] = True
+        assert got[away <= bound[:, None]].all()
+        assert scale not in (1e-8, 1.0, 1e8) or got.sum() < 30 * 8
+
+
+def test_one_product_turns_as_the_transform():
+    x = np.random.default_rng(7).normal(size=(5, 24))
+    wide = np.hstack((x, np.zeros((5, 8))))
+    assert np.allclose(neighbours.rotated(x, 2), neighbours.turned(wide, 2, neighbours.TABLES, neighbours.SEED))
