@@ -1,13 +1,12 @@
 """Exact candidates in dense regions of op 2, where more nodes share a signature prefix than a window can hold.
 
-Nodes are put in inverted lists by shingle, with the component that they are in so far. A shingle of one component
-alone links nothing new, and a set of n shingles can be linked only if three quarters of them are in other components,
-too. A round looks at the rare shingles, those of few components: components that share one are paired, and stay so if
-their common rare shingles and the frequent ones of their nodes could add up to the threshold; so does a pair of nodes.
-A pair without any common rare shingle has to reach the threshold by frequent ones alone, which needs six sevenths of
-the smaller set; while there are such nodes, the next round takes them, with their frequent shingles and a higher bound
-of what counts as rare. Components are paired on sums before their nodes are, so that a large one is unfolded only where
-a pair may be found. So every pair over the threshold is found, and none is listed that the bounds rule out.
+Nodes are put in inverted lists by shingle, with the component that they are in so far. Shingles have one order, from
+those of few components to those of many. A set of n shingles shares three quarters of them with whatever it is linked
+with, so its first n / 4, and one more, hold one of the common ones: only this prefix is joined. A shingle of one component
+alone links nothing new, yet it comes first and leaves less of the prefix to join. Of two linked sets, what is common
+and not in both prefixes lies beyond the prefix that ends first; so the common shingles of the prefixes and what is
+beyond them have to add up to the threshold, first over components, then over their nodes, so that a large component is
+unfolded only where a pair may be found. So every pair over the threshold is found, however many share a shingle.
 
 With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
 """
@@ -15,7 +14,6 @@ With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +23,6 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import forget, map_arrow, stored
 
-#: Components that a rare shingle is in, in the first round, and how much more in each round after it.
-RARE, WIDER = 16, 8
 #: Sets that are unfolded at a time.
 SETS_AT_ONCE = 200
 
@@ -52,29 +48,29 @@ def shared(lists: DataFrame) -> DataFrame:
     return lists.join(counted, "s").select("s", "component", "id", "n", "k")
 
 
-def useful(lists: DataFrame, most: int) -> DataFrame:
-    """``lists`` without nodes that can't be linked, with ``often`` (the shingle is in more than ``most`` components) and
-    the node's numbers of rare and of frequent shingles."""
+def prefixes(lists: DataFrame) -> DataFrame:
+    """``lists`` cut to the prefix of each node, with the numbers of its shingles in the prefix (``head``) and in ``lists``
+    (``total``). Nodes that can't be linked are left out."""
     node = Window.partitionBy("id")
-    some = lists.withColumn("often", F.col("k") > most)
-    sized = some.withColumn("n_rare", F.count_if(~F.col("often")).over(node)).withColumn("n_often", F.count_if("often").over(node))
-    return sized.where("4 * (n_rare + n_often) >= 3 * n")
+    least = F.expr("(3 * n + 3) div 4")
+    sized = lists.withColumn("total", F.count("*").over(node)).withColumn("place", F.row_number().over(node.orderBy("k", "s")))
+    return sized.withColumn("head", F.col("total") - least + 1).where("place <= head").drop("place", "k")
 
 
-def rare_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of the nodes of ``lists`` whose components share rare shingles, and which may be linked."""
-    rare = lists.where("not often").withColumn("total", F.col("n_rare") + F.col("n_often"))
-    sides = rare.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max("n_often").alias("rest"))
+def prefix_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b) of the nodes of ``heads`` whose components share shingles of their prefixes, and which may be linked."""
+    sides = heads.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max(F.col("total") - F.col("head")).alias("rest"))
     x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least", "rest")]) for k in "ab")
     met = x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a")
     sums = met.groupBy("component_a", "component_b").agg(F.count("*").alias("common"), *[F.max(f"rest_{k}").alias(f"rest_{k}") for k in "ab"], *[F.min(f"least_{k}").alias(f"least_{k}") for k in "ab"])
-    pairs = sums.where("7 * (common + least(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b", "common")
-    nodes = stored(rare.select("id", "component", "n", "n_rare", "n_often").distinct(), "rare-nodes")
+    pairs = sums.where("7 * (common + greatest(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b", "common", F.col("rest_b").alias("most_b"), F.col("least_b").alias("fewest_b"))
+    nodes = stored(heads.select("id", "component", "n", "head", "total").distinct(), "prefix-nodes")
     for k in "ab":
-        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "n_rare", "n_often")]), f"component_{k}")
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "head", "total")]), f"component_{k}")
         if k == "a":
-            pairs = pairs.where("4 * (least(common, n_rare_a) + n_often_a) >= 3 * n_a")
-    pairs = pairs.where("7 * (least(common, n_rare_a, n_rare_b) + least(n_often_a, n_often_b)) >= 3 * (n_a + n_b)")
+            pairs = pairs.where("7 * (least(common, head_a) + greatest(total_a - head_a, most_b)) >= 3 * (n_a + fewest_b) and 7 * total_a >= 3 * (n_a + fewest_b)")
+    pairs = pairs.where("7 * (least(common, head_a, head_b) + greatest(total_a - head_a, total_b - head_b)) >= 3 * (n_a + n_b)")
+    pairs = pairs.where("7 * least(total_a, total_b) >= 3 * (n_a + n_b) and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
@@ -83,16 +79,9 @@ def dense_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``sets`` (id, shingles) has the full set of each node, and maybe others.
     """
-    first = stored(inverted(nodes, sets), "lists")
-    found, lists, most = [], stored(shared(first), "shared"), RARE
-    forget(first)
-    while True:
-        some = stored(useful(lists, most), "useful")
-        forget(lists)
-        found.append(stored(rare_pairs(some), "dense-pairs"))
-        lists = some.where("often and 4 * n_often >= 3 * n")
-        if lists.where("7 * n_often >= 6 * n").isEmpty():
-            forget(some)
-            return reduce(DataFrame.union, found).distinct()
-        lists, most = stored(lists.select("s", "component", "id", "n", "k"), "lists"), most * WIDER
-        forget(some)
+    lists = stored(inverted(nodes, sets), "lists")
+    heads = stored(prefixes(shared(lists)), "prefixes")
+    forget(lists)
+    pairs = stored(prefix_pairs(heads), "dense-pairs")
+    forget(heads)
+    return pairs.distinct()

@@ -126,6 +126,20 @@ def test_near_duplicates_of_a_template(spark):
     assert {r.doc_id: r.component_id for r in out} == {i: i // 2 * 2 for i in range(2 * n)}
 
 
+def test_prefixes_keep_all_pairs_of_frequent_shingles(spark):
+    """Sets drawn from one small pool, so that every shingle is frequent: the join is on few of them and loses no pair."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate((rng.choice(40, 33, replace=False), 1000 + 10 * i + np.arange(rng.integers(0, 3))))).astype(np.int64) for i in range(120)]
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "id long, n long, component long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    lists = dense.shared(dense.inverted(nodes, table))
+    met = [sum(r["count"] * (r["count"] - 1) // 2 for r in x.groupBy("s").count().collect()) for x in (lists, dense.prefixes(lists))]
+    assert 2 * met[1] < met[0]
+    common = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    want = {(j, i) for i in range(120) for j in range(i) if 7 * common[i][j] >= 3 * (len(sets[i]) + len(sets[j]))}
+    assert want and want <= {(r.a, r.b) for r in dense.dense_pairs(nodes, table).collect()}
+
+
 def test_dense_pairs_are_all_pairs(spark):
     """Random sets around few centres: every pair over the threshold in two components is among the candidates."""
     rng = np.random.default_rng(6)
