@@ -8,6 +8,10 @@ and not in both prefixes lies beyond the prefix that ends first; so the common s
 beyond them have to add up to the threshold, first over components, then over their nodes, so that a large component is
 unfolded only where a pair may be found. So every pair over the threshold is found, however many share a shingle.
 
+Any one order will do, and a shingle may count as shared though it isn't. So the order comes from a table of slots by
+hashed shingle, as long as that is small enough to broadcast: each task sums up its slots, and only prefixes are unfolded
+into rows. Beyond that bound all shingles are, and counted by joins.
+
 With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
 """
 
@@ -22,9 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import forget, map_arrow, stored
+from tessera.llm.pretokens import mixed
 
 #: Sets that are unfolded at a time.
 SETS_AT_ONCE = 200
+#: Slots a shingle in the table that gives the order, of a byte each; one of more slots than the bound (32 MB) is not
+#: broadcast. Slots of a block travel together.
+SLOTS, MOST_SLOTS, BLOCK = 4, 1 << 25, 1 << 16
 
 
 def inverted(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -57,6 +65,77 @@ def prefixes(lists: DataFrame) -> DataFrame:
     return sized.withColumn("head", F.col("total") - least + 1).where("place <= head").drop("place", "k")
 
 
+def slots(shingles: np.ndarray, size: int) -> np.ndarray:
+    return (mixed(shingles.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def order_table(rows: DataFrame, size: int) -> np.ndarray:
+    """A byte for each of ``size`` slots: 0 if the shingles there are of one component at most, else more for more components.
+
+    ``rows`` is (component, shingles, ...). A component counts once for each batch that it is in.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("shingles").to_pylist()
+            component = np.repeat(batch.column("component").to_numpy(), [len(x) // 8 for x in raw])
+            slot = slots(np.frombuffer(b"".join(raw), np.int64), size)
+            by = np.lexsort((component, slot))
+            slot, component = slot[by], component[by]
+            new = np.ones(len(slot), bool)
+            new[1:] = (slot[1:] != slot[:-1]) | (component[1:] != component[:-1])
+            slot, component = slot[new], component[new]
+            slot, first, count = np.unique(slot, return_index=True, return_counts=True)
+            columns = [(slot % BLOCK).astype(np.uint16), count.astype(np.int32), component[first], component[first + count - 1]]
+            block, start = np.unique(slot // BLOCK, return_index=True)
+            packed = [pa.array([x.tobytes() for x in np.split(c, start[1:])] if len(block) else [], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(block), *packed], ["block", "slot", "count", "least", "most"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] not in tables:
+                    ends = np.iinfo(np.int64)
+                    tables[r["block"]] = np.zeros(BLOCK, np.int64), np.full(BLOCK, ends.max), np.full(BLOCK, ends.min)
+                count, least, most = tables[r["block"]]
+                slot = np.frombuffer(r["slot"], np.uint16)
+                count[slot] += np.frombuffer(r["count"], np.int32)
+                least[slot] = np.minimum(least[slot], np.frombuffer(r["least"], np.int64))
+                most[slot] = np.maximum(most[slot], np.frombuffer(r["most"], np.int64))
+        for block, (count, least, most) in tables.items():
+            rank = np.where(least < most, np.minimum(1 + 12 * np.log2(np.maximum(count, 1)), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([rank.tobytes()], pa.binary())], ["block", "ranks"])
+
+    parts = map_arrow(rows.select("component", "shingles"), counted, "block long, slot binary, count binary, least binary, most binary")
+    out = np.zeros((size // BLOCK, BLOCK), np.uint8)
+    for r in map_arrow(parts.repartition("block"), summed, "block long, ranks binary").collect():
+        out[r.block] = np.frombuffer(r.ranks, np.uint8)
+    return out.ravel()
+
+
+def hashed_prefixes(rows: DataFrame, size: int) -> DataFrame:
+    """The like of ``prefixes`` of ``rows`` (id, n, component, shingles), in the order of ``order_table``."""
+    shared = rows.sparkSession.sparkContext.broadcast(order_table(rows, size))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SETS_AT_ONCE):
+                some = batch.slice(at, SETS_AT_ONCE)
+                found, total = [], []
+                for raw, n in zip(some.column("shingles").to_pylist(), some.column("n").to_pylist(), strict=True):
+                    s = np.frombuffer(raw, np.int64)
+                    rank = shared.value[slots(s, size)]
+                    s, rank = s[rank > 0], rank[rank > 0]
+                    total.append(len(s))
+                    found.append(s[np.lexsort((s, rank))[: max(0, len(s) - (3 * n + 3) // 4 + 1)]])
+                head = np.array([len(x) for x in found])
+                columns = [np.repeat(x, head) for x in (*(some.column(c).to_numpy() for c in ("component", "id", "n")), np.array(total), head)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), *columns)], ["s", "component", "id", "n", "total", "head"])
+
+    return map_arrow(rows.select("id", "n", "component", "shingles"), kernel, "s long, component long, id long, n long, total long, head long")
+
+
 def prefix_pairs(heads: DataFrame) -> DataFrame:
     """(a, b) of the nodes of ``heads`` whose components share shingles of their prefixes, and which may be linked."""
     sides = heads.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max(F.col("total") - F.col("head")).alias("rest"))
@@ -79,8 +158,14 @@ def dense_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``sets`` (id, shingles) has the full set of each node, and maybe others.
     """
-    lists = stored(inverted(nodes, sets), "lists")
-    heads = stored(prefixes(shared(lists)), "prefixes")
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    size = max(BLOCK, 1 << (SLOTS * shingles - 1).bit_length())
+    if size > MOST_SLOTS:
+        lists = stored(inverted(nodes, sets), "lists")
+        heads = stored(prefixes(shared(lists)), "prefixes")
+    else:
+        lists = stored(sets.join(nodes.select("id", "n", "component"), "id"), "dense-sets")
+        heads = stored(hashed_prefixes(lists, size), "prefixes")
     forget(lists)
     pairs = stored(prefix_pairs(heads), "dense-pairs")
     forget(heads)

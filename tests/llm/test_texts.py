@@ -163,6 +163,59 @@ def test_dense_pairs_are_all_pairs(spark):
     assert want and want <= got
 
 
+def copies_of_a_template(n, seed, gone, own):
+    """Sets of one template without some of its shingles and with some of their own; each is a component."""
+    rng = np.random.default_rng(seed)
+    template = rng.integers(-(2**62), 2**62, 200)
+    keep = lambda i: rng.random(200) >= (gone if i % 10 else 0.04)
+    return [np.unique(np.concatenate((template[keep(i)], rng.integers(-(2**62), 2**62, own if i % 10 else 3)))) for i in range(n)]
+
+
+def tables_of(spark, sets, component=lambda i: i):
+    nodes = spark.createDataFrame([(i, len(s), component(i)) for i, s in enumerate(sets)], "id long, n long, component long")
+    return nodes, spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+
+
+def linked(sets):
+    common = lambda a, b: len(np.intersect1d(a, b, assume_unique=True))
+    return {(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 7 * common(a, b) >= 3 * (len(a) + len(b))}
+
+
+def test_dense_regions_unfold_prefixes_alone(spark, monkeypatch):
+    """Copies of a template come out of no kernel with a row for each shingle; the joins of large regions find the same pairs."""
+    sets = copies_of_a_template(150, 11, 0.1, 20)
+    nodes, table = tables_of(spark, sets)
+    want, made, plain = linked(sets), [], dense.map_arrow
+
+    def counted(df, kernel, schema):
+        out = plain(df, kernel, schema)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(dense, "map_arrow", counted)
+    assert want and want <= {(r.a, r.b) for r in dense.dense_pairs(nodes, table).collect()}
+    assert 3 * max(made) <= sum(map(len, sets))
+    monkeypatch.setattr(dense, "MOST_SLOTS", 0)
+    assert want <= {(r.a, r.b) for r in dense.dense_pairs(nodes, table).collect()}
+    assert max(made) == sum(map(len, sets))
+
+
+def test_order_table_knows_shared_shingles(spark):
+    """Shingles of two components or more are never taken for those of one, and of the others few are taken for shared."""
+    sets = copies_of_a_template(120, 12, 0.2, 60)
+    nodes, table = tables_of(spark, sets, lambda i: i // 3 - 20)
+    rows = table.join(nodes, "id").repartition(5)
+    ranks = dense.order_table(rows, size := 1 << 17)
+    homes = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            homes.setdefault(x, set()).add(i // 3)
+    s = np.array(list(homes))
+    shared = np.array([len(homes[x]) > 1 for x in s.tolist()])
+    rank = ranks[dense.slots(s, size)]
+    assert shared.sum() > 100 and (rank[shared] > 0).all() and (rank[~shared] > 0).mean() < 0.1
+
+
 def test_rows_that_share_a_doc_id(spark):
     words = lambda a: " ".join(f"{a}{i}" for i in range(30))
     rows = [(1, words("a")), (2, words("a")), (2, words("b")), (2, words("c")), (3, words("b")), (4, words("c")), (4, words("c")), (None, words("c")), (5, ""), (5, None)]
