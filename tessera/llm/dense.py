@@ -12,7 +12,12 @@ Any one order will do, and a shingle may count as shared though it isn't. So the
 hashed shingle, as long as that is small enough to broadcast: each task sums up its slots, and only prefixes are unfolded
 into rows. Beyond that bound all shingles are, and counted by joins.
 
-With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b).
+Components of near copies of one template pass these bounds in numbers that go with the square of the group. Of those
+pairs, the parities say most: a bit for each slot of a set, set if an odd number of its shingles falls there. Where the
+bits of two sets differ, so do the sets; no pair over the threshold has more such bits than shingles that differ.
+
+With o common shingles, similarity 0.75 or more is 7 * o >= 3 * (n_a + n_b), and then 7 * d <= n_a + n_b for the d
+shingles that are in one of the two sets.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +38,8 @@ SETS_AT_ONCE = 200
 #: Slots a shingle in the table that gives the order, of a byte each; one of more slots than the bound (32 MB) is not
 #: broadcast. Slots of a block travel together.
 SLOTS, MOST_SLOTS, BLOCK = 4, 1 << 25, 1 << 16
+#: Parity bits a shingle, at least; 64-bit words of parities that go with each row of a prefix.
+PARITY_BITS, WORDS = 4, 16
 
 
 def inverted(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,20 +143,56 @@ def hashed_prefixes(rows: DataFrame, size: int) -> DataFrame:
     return map_arrow(rows.select("id", "n", "component", "shingles"), kernel, "s long, component long, id long, n long, total long, head long")
 
 
-def prefix_pairs(heads: DataFrame) -> DataFrame:
-    """(a, b) of the nodes of ``heads`` whose components share shingles of their prefixes, and which may be linked."""
-    sides = heads.groupBy("s", "component").agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max(F.col("total") - F.col("head")).alias("rest"))
-    x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least", "rest")]) for k in "ab")
+def with_parities(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``nodes`` (id, component, n, head, total) with the parities of their sets: ``parity`` has 64-bit words, a power of two
+    of them, and ``brief`` the same folded to ``WORDS``."""
+    columns = ["id", "component", "n", "head", "total"]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = []
+            for raw in batch.column("shingles").to_pylist():
+                size = 1 << max((64 * WORDS - 1).bit_length(), (PARITY_BITS * (len(raw) // 8) - 1).bit_length())
+                odd = np.bincount(slots(np.frombuffer(raw, np.int64), size), minlength=size) & 1
+                full.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            brief = [np.bitwise_xor.reduce(x.reshape(-1, WORDS)) for x in full]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(x, pa.list_(pa.int64())) for x in (full, brief))], [*columns, "parity", "brief"])
+
+    return map_arrow(nodes.join(sets, "id").select(*columns, "shingles"), kernel, "id long, component long, n long, head long, total long, parity array<long>, brief array<long>")
+
+
+def differing(x: Column, y: Column) -> Column:
+    """How many parities differ. The longer ones are folded to the length of the others: sizes that may be linked are one step apart."""
+    bits = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2 + 1).cast("int"), (F.size(p) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    return F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(half(x), y)).when(F.size(y) == 2 * F.size(x), bits(x, half(y))).otherwise(0)
+
+
+def meetings(heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each shingle of the prefixes ``heads`` and two components that may be linked by nodes that have it there.
+
+    Where it is one node on either side, their parities in ``nodes`` tell.
+    """
+    agreed = heads.join(nodes.select("id", "brief"), "id").groupBy("s", "component")
+    sides = agreed.agg(F.max(7 * F.col("total") - 3 * F.col("n")).alias("room"), F.min("n").alias("least"), F.max(F.col("total") - F.col("head")).alias("rest"), F.when(F.count("*") == 1, F.first("brief")).alias("brief"))
+    x, y = (sides.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("component", "room", "least", "rest", "brief")]) for k in "ab")
     met = x.join(y, "s").where("component_a < component_b and room_a >= 3 * least_b and room_b >= 3 * least_a")
+    apart = sum((F.bit_count(F.col("brief_a")[i].bitwiseXOR(F.col("brief_b")[i])) for i in range(WORDS)), F.lit(0))
+    return met.where(F.coalesce(7 * apart <= F.col("least_a") + F.col("least_b"), F.lit(True))).drop("brief_a", "brief_b")
+
+
+def prefix_pairs(heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of the ``nodes`` of ``heads``, with parities, whose components share shingles of their prefixes, and which may be linked."""
+    met = meetings(heads, nodes)
     sums = met.groupBy("component_a", "component_b").agg(F.count("*").alias("common"), *[F.max(f"rest_{k}").alias(f"rest_{k}") for k in "ab"], *[F.min(f"least_{k}").alias(f"least_{k}") for k in "ab"])
     pairs = sums.where("7 * (common + greatest(rest_a, rest_b)) >= 3 * (least_a + least_b)").select("component_a", "component_b", "common", F.col("rest_b").alias("most_b"), F.col("least_b").alias("fewest_b"))
-    nodes = stored(heads.select("id", "component", "n", "head", "total").distinct(), "prefix-nodes")
     for k in "ab":
-        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "head", "total")]), f"component_{k}")
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "head", "total", "parity")]), f"component_{k}")
         if k == "a":
             pairs = pairs.where("7 * (least(common, head_a) + greatest(total_a - head_a, most_b)) >= 3 * (n_a + fewest_b) and 7 * total_a >= 3 * (n_a + fewest_b)")
     pairs = pairs.where("7 * (least(common, head_a, head_b) + greatest(total_a - head_a, total_b - head_b)) >= 3 * (n_a + n_b)")
     pairs = pairs.where("7 * least(total_a, total_b) >= 3 * (n_a + n_b) and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    pairs = pairs.where(7 * differing(F.col("parity_a"), F.col("parity_b")) <= F.col("n_a") + F.col("n_b"))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
@@ -167,6 +210,8 @@ def dense_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         lists = stored(sets.join(nodes.select("id", "n", "component"), "id"), "dense-sets")
         heads = stored(hashed_prefixes(lists, size), "prefixes")
     forget(lists)
-    pairs = stored(prefix_pairs(heads), "dense-pairs")
+    ends = stored(with_parities(heads.select("id", "component", "n", "head", "total").distinct(), sets), "prefix-nodes")
+    pairs = stored(prefix_pairs(heads, ends), "dense-pairs")
     forget(heads)
+    forget(ends)
     return pairs.distinct()

@@ -216,6 +216,44 @@ def test_order_table_knows_shared_shingles(spark):
     assert shared.sum() > 100 and (rank[shared] > 0).all() and (rank[~shared] > 0).mean() < 0.1
 
 
+def test_dense_pairs_of_a_template_are_few(spark):
+    """Copies of a template that are just not linked make no number of rows that goes with the square of the group."""
+    sets = copies_of_a_template(240, 13, 0.13, 22)
+    nodes, table = tables_of(spark, sets)
+    want = linked(sets)
+    got = {(r.a, r.b) for r in dense.dense_pairs(nodes, table).collect()}
+    assert want and want <= got and len(got) <= len(want) + 5 * len(sets)
+    heads = dense.hashed_prefixes(table.join(nodes, "id"), 1 << 17)
+    ends = dense.with_parities(heads.select("id", "component", "n", "head", "total").distinct(), table)
+    met = {(r.component_a, r.component_b) for r in dense.meetings(heads, ends).collect()}
+    assert want <= met and len(met) <= len(want) + 10 * len(sets)
+
+
+def test_dense_pairs_of_components_of_many(spark):
+    """Parities are asked of single nodes: a component's other nodes may be linked where the node met is not."""
+    sets = copies_of_a_template(200, 14, 0.12, 22)
+    component = lambda i: i if i % 3 else i % 12
+    got = {(r.a, r.b) for r in dense.dense_pairs(*tables_of(spark, sets, component)).collect()}
+    want = {(a, b) for a, b in linked(sets) if component(a) != component(b)}
+    assert want and want <= got
+
+
+def test_parities_differ_in_no_more_places_than_sets(spark):
+    """Sets of one length of parities, of two, and of few and many shingles."""
+    rng = np.random.default_rng(15)
+    sets = []
+    for n in (3, 250, 270, 500, 530, 1020, 1030, 5000):
+        base = rng.integers(-(2**62), 2**62, n)
+        sets += [np.unique(base), np.unique(np.concatenate((base[n // 20 :], rng.integers(-(2**62), 2**62, n // 8))))]
+    nodes, table = tables_of(spark, sets)
+    ends = dense.with_parities(nodes.selectExpr("id", "component", "n", "n as head", "n as total"), table)
+    x, y = (ends.select(F.col("id").alias(f"id_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+    far = {(r.id_a, r.id_b): r.far for r in x.crossJoin(y).select("id_a", "id_b", dense.differing(F.col("parity_a"), F.col("parity_b")).alias("far")).collect()}
+    for (i, j), d in far.items():
+        assert d <= len(np.setxor1d(sets[i], sets[j]))
+    assert all(4 * far[i, i + 1] >= 3 * len(np.setxor1d(sets[i], sets[i + 1])) for i in range(0, len(sets), 2))
+
+
 def test_rows_that_share_a_doc_id(spark):
     words = lambda a: " ".join(f"{a}{i}" for i in range(30))
     rows = [(1, words("a")), (2, words("a")), (2, words("b")), (2, words("c")), (3, words("b")), (4, words("c")), (4, words("c")), (None, words("c")), (5, ""), (5, None)]
